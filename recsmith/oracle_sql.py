@@ -98,3 +98,45 @@ def queries_cte(name: str = "q") -> str:
 def qvec_cte(name: str = "qv") -> str:
     return f"""{name} AS (SELECT vec_id AS query_id, CAST(unnest(embedding) AS DOUBLE) AS v,
                  unnest(generate_series(1, len(embedding))) AS pos FROM embeddings)"""
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def clean_sql(expr: str) -> str:
+    """clean_html_text in DuckDB SQL, same patterns as functions.text."""
+    from recsmith.functions import text as TX
+    x = f"coalesce({expr}, '')"
+    for r in [TX.COMMENT_RE, *TX.BLOCK_RES, TX.TAG_RE]:
+        x = f"regexp_replace({x}, {_sql_str(r)}, ' ', 'g')"
+    for ent, ch in TX.ENTITIES:
+        x = f"replace({x}, {_sql_str(ent)}, {_sql_str(ch)})"
+    return f"lower(trim(regexp_replace({x}, {_sql_str(TX.WS_CLASS)}, ' ', 'g')))"
+
+
+def sentiment_ctes(src: str, key: str, cleaned: str, out: str = "sent") -> str:
+    """CTE ``out``(key, sentiment) over table ``src`` with a cleaned text column."""
+    from recsmith.functions import text as TX
+    from recsmith.sources import testdata as td
+    lex = ", ".join(f"({_sql_str(k)}, {float(v)!r})" for k, v in td.LEXICON)
+    neg = ", ".join(f"({_sql_str(n)})" for n in td.NEGATIONS)
+    bst = ", ".join(f"({_sql_str(k)}, {float(v)!r})" for k, v in td.BOOSTERS)
+    return f"""{out}_lex(token, valence) AS (VALUES {lex}),
+      {out}_neg(token) AS (VALUES {neg}),
+      {out}_bst(token, b) AS (VALUES {bst}),
+      {out}_tk AS (SELECT k, regexp_replace(t, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS t, pos FROM (
+          SELECT {key} AS k, unnest(string_split({cleaned}, ' ')) AS t,
+                 unnest(generate_series(1, len(string_split({cleaned}, ' ')))) AS pos
+          FROM {src} WHERE {cleaned} <> '')),
+      {out}_tl AS (SELECT k, t, lag(t, 1) OVER w AS p1, lag(t, 2) OVER w AS p2, lag(t, 3) OVER w AS p3
+          FROM {out}_tk WINDOW w AS (PARTITION BY k ORDER BY pos)),
+      {out}_tv AS (SELECT tl.k, coalesce(l.valence, 0.0) AS v0, coalesce(b.b, 0.0) AS b,
+          coalesce(tl.p1 IN (SELECT token FROM {out}_neg), false) OR coalesce(tl.p2 IN (SELECT token FROM {out}_neg), false)
+          OR coalesce(tl.p3 IN (SELECT token FROM {out}_neg), false) AS negated
+          FROM {out}_tl tl LEFT JOIN {out}_lex l ON l.token = tl.t LEFT JOIN {out}_bst b ON b.token = tl.p1),
+      {out}_s AS (SELECT k, sum(CASE WHEN negated THEN v1 * {TX.NEGATION_SCALAR} ELSE v1 END) AS s FROM (
+          SELECT k, negated, CASE WHEN v0 <> 0 THEN v0 + sign(v0) * b ELSE v0 END AS v1 FROM {out}_tv) GROUP BY k),
+      {out} AS (SELECT x.{key} AS {key},
+          CASE WHEN s.s IS NULL THEN 0.0 ELSE greatest(-1.0, least(1.0, s.s / sqrt(s.s * s.s + {TX.COMPOUND_ALPHA}))) END AS sentiment
+          FROM {src} x LEFT JOIN {out}_s s ON s.k = x.{key})"""
