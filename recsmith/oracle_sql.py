@@ -140,3 +140,38 @@ def sentiment_ctes(src: str, key: str, cleaned: str, out: str = "sent") -> str:
       {out} AS (SELECT x.{key} AS {key},
           CASE WHEN s.s IS NULL THEN 0.0 ELSE greatest(-1.0, least(1.0, s.s / sqrt(s.s * s.s + {TX.COMPOUND_ALPHA}))) END AS sentiment
           FROM {src} x LEFT JOIN {out}_s s ON s.k = x.{key})"""
+
+
+def per_user_metrics_sql(src: str, by: list[str], tiebreak: list[str], ks=(5, 10, 20),
+                         splits=("val", "test")) -> str:
+    """SELECT of (by..., user_id, k, precision, recall, ndcg) over a scored
+    table ``src`` (columns by..., user_id, rating, score, tiebreak...)."""
+    g = ", ".join(by + ["user_id"]) if by else "user_id"
+    part = ", ".join(by + ["user_id"])
+    tb = ", ".join(tiebreak)
+    ks_list = ", ".join(str(k) for k in ks)
+    spl = ", ".join(f"'{s}'" for s in splits)
+    return f"""
+      SELECT {g}, CAST(k AS INTEGER) AS k, hits / k AS precision, hits / num_pos AS recall,
+             CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END AS ndcg
+      FROM (
+        SELECT {g}, k, max(num_pos) AS num_pos,
+               sum(CASE WHEN rk <= k AND is_pos = 1 THEN 1 ELSE 0 END) AS hits,
+               sum(CASE WHEN rk <= k AND is_pos = 1 THEN 1.0 / log2(rk + 1) ELSE 0.0 END) AS dcg,
+               list_sum(list_transform(range(1, CAST(least(k, max(num_pos)) AS BIGINT) + 1), lambda i: 1.0 / log2(i + 1))) AS idcg
+        FROM (
+          SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY CASE WHEN score IS NULL OR isnan(score) THEN 1 ELSE 0 END,
+                                       score DESC, {tb}) AS rk,
+                 sum(is_pos) OVER (PARTITION BY {part}) AS num_pos
+          FROM (SELECT *, CASE WHEN rating >= 4.0 THEN 1 ELSE 0 END AS is_pos FROM {src}
+                WHERE split IN ({spl}) AND user_id IS NOT NULL)
+        ) CROSS JOIN (SELECT unnest([{ks_list}]) AS k)
+        WHERE num_pos > 0
+        GROUP BY {g}, k)"""
+
+
+def metrics_mean_sql(src: str, by: list[str], tiebreak: list[str], ks=(5, 10, 20), splits=("val", "test")) -> str:
+    g = ", ".join(by + ["k"])
+    return f"""SELECT {g}, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+                 round(avg(ndcg), 6) AS ndcg, count(*) AS n_users
+               FROM ({per_user_metrics_sql(src, by, tiebreak, ks, splits)}) GROUP BY {g}"""
