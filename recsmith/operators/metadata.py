@@ -27,11 +27,11 @@ def _opt(df: DataFrame, name: str, typ: str) -> F.Column:
     return F.col(name).cast(typ) if name in df.columns else F.lit(None).cast(typ)
 
 
-def coalesce_metadata(df: DataFrame) -> DataFrame:
+def coalesce_metadata(df: DataFrame, keys: tuple[str, ...] = ("business_id",)) -> DataFrame:
     """name or 'Business <id>' (empty counts as missing); rating else stars;
     review_count else num_reviews."""
     return df.select(
-        "business_id",
+        *keys,
         F.coalesce(F.nullif(_opt(df, "name", "string"), F.lit("")),
                    F.concat(F.lit(NAME_PREFIX), F.col("business_id"))).alias("name"),
         image_url(_opt(df, "pics", "array<string>")).alias("image_url"),

@@ -31,9 +31,9 @@ def round_floats(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), decimals).alias(f.name))
+            cols.append(F.round(F.col(f"`{f.name}`").cast("double"), decimals).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
 
 
