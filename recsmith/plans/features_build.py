@@ -3,6 +3,7 @@ train statistics, dense vector, z-scoring fitted on train."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ def dense_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zscored_dense(spark: SparkSession, sf_dir: str):
     """(rows with z-scored dense vector, fitted params)."""
-    raw = dense_table(spark, sf_dir)
+    # fit (one aggregate) and apply read the same rows: keep them once
+    raw = dense_table(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     params = ST.zscore_fit(raw.filter(F.col("split") == "train"), FT.FEATURE_ORDER)
     z = ST.zscore_apply(raw, params)
     z = FT.dense_vector(z, [c + "_z" for c in FT.FEATURE_ORDER], "dense")

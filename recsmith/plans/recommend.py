@@ -74,5 +74,6 @@ def recommend_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = td.interactions(spark, sf_dir, with_vectors=True)
     base, mu = item_base_scores(ix.select("split", "business_id", "user_id", "rating"))
     items = item_table(ix, base, mu)
-    md = MD.first_metadata_per_item(td.raw_records(spark, sf_dir))
+    # metadata reads only the record fields it uses (no review text)
+    md = MD.first_metadata_per_item(td.interactions(spark, sf_dir, with_pics=True, with_name=True))
     return recommend(items, td.query_requests(spark, sf_dir), md)
