@@ -187,3 +187,23 @@ def q_topk_overlap(spark, d):
 def q_query_steering(spark, d):
     items, q = _items_queries(spark, d)
     return STEER.query_steering(items, q)
+
+
+# ---------------------------------------------------------------- stream job
+
+@register("recommend_stream", RECOMMEND_SQL)
+def q_recommend_stream(spark, d):
+    """Requests written as 4 JSON files and ranked as a stream (one file per
+    micro-batch); the union of the batch outputs equals ``recommend``."""
+    from recsmith.operators import metadata as MD
+    from recsmith.sources import ingest as IG
+    from recsmith.streaming import recommend_stream as RS
+    ix = td.interactions(spark, d, with_vectors=True)
+    base, mu = R.item_base_scores(ix.select("split", "business_id", "user_id", "rating"))
+    items = R.item_table(ix, base, mu)
+    md = MD.first_metadata_per_item(td.interactions(spark, d, with_pics=True, with_name=True))
+    req_path = IG.scratch_path(spark, "requests")
+    td.query_requests(spark, d).repartition(4, "query_id").write.json(req_path)
+    out = RS.run_to_end(spark, req_path, IG.scratch_path(spark, "recs_out"), IG.scratch_path(spark, "stream_ckpt"),
+                        items, md)
+    return out.drop("batch_id")
