@@ -194,3 +194,19 @@ def q_pca_2d(spark, d):
     pts = PJ.pca_2d(pooled, "text_emb")
     pop = ix.filter(F.col("split") == "train").groupBy("business_id").agg(F.avg("rating").alias("mean_rating"))
     return pts.join(pop, "business_id", "left")
+
+
+@register("scan_images")
+def q_scan_images(spark, d):
+    """Picture files (bytes derived from the catalogue vectors, one folder per
+    pic_id) listed with binaryFile and joined to the picture list; missing
+    files keep null content; then encoded once per picture."""
+    from recsmith.models import image_encoder as IE
+    from recsmith.sources import ingest as IG
+    pics = _pictures_with_bytes(spark, d)
+    path = IG.scratch_path(spark, "images")
+    pics.select("pic_id", F.decode("content", "UTF-8").alias("value")).write.partitionBy("pic_id").text(path)
+    listed = IG.scan_images(spark, path, pics.select("pic_id"), glob="*.txt")
+    enc = IE.embed_images(listed, "content", "img_vec")
+    return listed.select("pic_id", "length").join(enc, "pic_id", "left").select(
+        "pic_id", "length", F.size("img_vec").alias("dim"))

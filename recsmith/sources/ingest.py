@@ -165,11 +165,14 @@ def vectors_long(df: DataFrame, key: list[str], col: str) -> DataFrame:
         *key, (F.col("pos") + 1).cast("int").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
-def scan_images(spark: SparkSession, folder: str, pic_ids: DataFrame | None = None) -> DataFrame:
-    """binaryFile listing of {pic_id}.jpg; with a picture table, a left join
-    so missing pictures keep a null ``content`` (and are skipped later)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(folder)
-             .select(F.regexp_extract("path", r"([^/]+)\.jpg$", 1).alias("pic_id"), "length", "content"))
+def scan_images(spark: SparkSession, folder: str, pic_ids: DataFrame | None = None,
+                glob: str = "*.jpg") -> DataFrame:
+    """binaryFile listing of picture files: ``{pic_id}.jpg`` names, or a
+    ``pic_id=<id>/`` partitioned layout. With a picture table, a left join so
+    missing pictures keep a null ``content`` (skipped by the encoder)."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    pid = F.col("pic_id") if "pic_id" in raw.columns else F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    files = raw.select(pid.cast("string").alias("pic_id"), "length", "content")
     if pic_ids is None:
         return files
     return pic_ids.join(files, "pic_id", "left")
