@@ -17,12 +17,12 @@ def sentiment_params(spark: SparkSession):
     return (TX.lexicon_dict(td.lexicon(spark)), td.NEGATIONS, dict(td.BOOSTERS))
 
 
-def text_features(df: DataFrame, spark: SparkSession, text_col: str = "review_text") -> DataFrame:
-    """cleaned_text, text_len_words, sentiment."""
+def text_features(df: DataFrame, spark: SparkSession, text_col: str = "review_text",
+                  keep_cleaned: bool = False) -> DataFrame:
+    """text_len_words, sentiment (and cleaned_text): one Arrow pass over whole
+    texts (see functions.text.with_text_features for the measured reason)."""
     lex, neg, boost = sentiment_params(spark)
-    out = df.withColumn("cleaned_text", TX.clean_html_text(text_col))
-    out = out.withColumn("text_len_words", TX.word_count("cleaned_text"))
-    return TX.with_sentiment(out, "cleaned_text", "sentiment", lex, neg, boost)
+    return TX.with_text_features(df, text_col, lex, neg, boost, keep_cleaned)
 
 
 def dense_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,18 @@ def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
     return table(spark, sf_dir, name).count()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` when it has fewer partitions than the
+    cluster has cores: a small file read as one split would otherwise run all
+    of the per-row work that follows (whole-text processing) in one task. On
+    large inputs (already many splits) it is a no-op."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
 def _rating_expr(value) -> F.Column:
     r1, r2, r3, r4 = RATING_UPPER
     return (F.when(value < r1, 1).when(value < r2, 2).when(value < r3, 3)
@@ -76,6 +88,8 @@ def interactions(spark: SparkSession, sf_dir: str, with_text: bool = False,
     )
     n_vecs = row_count(spark, sf_dir, "embeddings") if (with_vectors or with_pics) else None
     if with_text:
+        # per-row text work follows: spread the (narrow) event rows before the text join
+        df = spread(df, "row_id")
         n_docs = row_count(spark, sf_dir, "documents")
         docs = table(spark, sf_dir, "documents").select(
             F.col("doc_id").alias("_doc"), F.col("text").alias("review_text"))
