@@ -42,7 +42,11 @@ def exact_quantiles(df: DataFrame, col: str, qs=(0.25, 0.5, 0.75)) -> DataFrame:
         lo, hi = math.floor(h), math.ceil(h)
         need[q] = (lo, hi, h - lo)
     ranks = sorted({r for lo, hi, _ in need.values() for r in (lo, hi)})
-    picked = positions(vals, ["v"], "rk", (), 0).filter(F.col("rk").isin(ranks)).select("rk", "v")
+    # a tiebreak lets the range partitioner split runs of equal values (a
+    # 5-valued rating column would otherwise put whole values in one task);
+    # the value found at a rank does not depend on how ties are ordered
+    vals = vals.withColumn("_t", F.monotonically_increasing_id())
+    picked = positions(vals, ["v", "_t"], "rk", (), 0).filter(F.col("rk").isin(ranks)).select("rk", "v")
     got = {int(r["rk"]): float(r["v"]) for r in picked.collect()}   # <= 2 rows per quantile
     rows = [(float(q), got[lo] + (got[hi] - got[lo]) * f) for q, (lo, hi, f) in need.items()]
     return spark.createDataFrame(rows, "q double, value double")
