@@ -161,9 +161,11 @@ def q_topk_base_vs_steered(spark, d):
     items, q = _items_queries(spark, d)
     b = STEER.base_top(items, 10)
     s = STEER.steered_top(items, q, 10)
-    # the base list has 10 rows: repeat it per query with an equi-join on a constant key
-    bq = (q.select("query_id", F.lit(1).alias("_one"))
-          .join(F.broadcast(b.select("business_id", "rank", F.lit(1).alias("_one"))), "_one").drop("_one"))
+    # the base list is query independent and has 10 rows: attach it to every
+    # query as a literal array (no join), then explode
+    base = [(int(r["rank"]), r["business_id"]) for r in b.select("rank", "business_id").collect()]
+    arr = F.array(*[F.struct(F.lit(rk).alias("rank"), F.lit(bid).alias("business_id")) for rk, bid in base])
+    bq = q.select("query_id", F.inline(arr))
     return (s.select("query_id", F.lit("steered").alias("kind"), F.col("rank").cast("int"), "business_id")
             .unionByName(bq.select("query_id", F.lit("base").alias("kind"), F.col("rank").cast("int"), "business_id")))
 
