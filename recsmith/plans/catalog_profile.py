@@ -226,3 +226,16 @@ def q_seeded_sample(spark, d, n: int = 1000, seed: int = 42):
     the id (same rows at any partitioning). Sampling is the feature here."""
     items = td.interactions(spark, d).select("business_id").filter(F.col("business_id").isNotNull()).distinct()
     return items.orderBy(F.xxhash64("business_id", F.lit(seed)), "business_id").limit(n)
+
+
+@register("describe_pic_count", f"""WITH {O.ix_cte('pr', pics=True)},
+  v AS (SELECT CAST(sum(len(list_filter(pics, lambda p: p IS NOT NULL AND p <> ''))) AS DOUBLE) AS x
+        FROM pr WHERE business_id IS NOT NULL GROUP BY business_id, split)
+  SELECT 'pic_count' AS column, stat, round(value, 6) AS value FROM (
+    SELECT count(x)::DOUBLE AS "count", avg(x) AS mean, stddev_samp(x) AS std, min(x) AS "min",
+           quantile_cont(x, 0.25) AS "25%", quantile_cont(x, 0.5) AS "50%", quantile_cont(x, 0.75) AS "75%",
+           max(x) AS "max" FROM v) UNPIVOT (value FOR stat IN ("count", mean, std, "min", "25%", "50%", "75%", "max"))""")
+def q_describe_pic_count(spark, d):
+    """describe() of the manifest's picture counts per (business, split)."""
+    m = FT.image_manifest(td.interactions(spark, d, with_pics=True))
+    return P.describe_numeric(m, "pic_count")
