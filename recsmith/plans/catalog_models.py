@@ -3,7 +3,6 @@ oracle; their properties are tested in tests/test_models.py)."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from recsmith.functions import vectors as V

@@ -52,7 +52,6 @@ from recsmith.functions import vectors as V  # noqa: E402
 from recsmith.operators import features as FT  # noqa: E402
 from recsmith.operators import similarity as SIM  # noqa: E402
 from recsmith.operators import stats as ST  # noqa: E402
-from recsmith.operators import topk as TK  # noqa: E402
 from recsmith.plans import steering as STEER  # noqa: E402
 from recsmith.sources import testdata as td  # noqa: E402
 
