@@ -8,9 +8,12 @@ Python; ``unescape="full"`` routes just those rows through an Arrow UDF.
 from __future__ import annotations
 
 import html
+import string as _string
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,38 +147,52 @@ def sentiment_from_words(w, lexicon: dict[str, float], negations: list[str],
 EDGE_PUNCT_STR = r"(^|(?<= ))\p{Punct}+|\p{Punct}+((?= )|$)"
 
 
-def _score_batch(texts: pd.Series, lexicon: dict, negations: frozenset, boosters: dict) -> pd.Series:
-    """Vectorised sentiment of one Arrow batch of normalised, punctuation
-    stripped texts: flat token array, hash lookups, neighbour reads by shifted
-    index, per-text sums with bincount (token order)."""
-    s = texts.fillna("")
-    lists = s.str.split(" ")
-    n = lists.str.len().fillna(0).to_numpy(dtype=np.int64)
-    n[(s == "").to_numpy()] = 0
-    out = np.zeros(len(s))
-    total = int(n.sum())
-    if total == 0:
-        return pd.Series(out)
-    flat = pd.Series(np.concatenate([np.asarray(l, dtype=object) for l, k in zip(lists, n) if k]))
-    doc = np.repeat(np.arange(len(s)), n)
-    pos = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-    v = flat.map(lexicon).fillna(0.0).to_numpy(dtype=np.float64)
-    nz = np.nonzero(v)[0]
+def _lookup(tokens: pa.Array, table: dict) -> np.ndarray:
+    """table[token] per token (0.0 when absent), by a vectorised hash lookup."""
+    keys = pa.array(list(table.keys()), pa.string())
+    vals = np.append(np.asarray(list(table.values()), dtype=np.float64), 0.0)
+    return vals[pc.index_in(tokens, value_set=keys).fill_null(len(keys)).to_numpy(zero_copy_only=False)]
+
+
+def _score_texts(texts: pd.Series, lexicon: dict, negations: frozenset, boosters: dict):
+    """(sentiment, word count) of one Arrow batch of normalised texts.
+
+    Tokens are the single-space separated words, edge punctuation trimmed
+    (for a normalised text this equals EDGE_PUNCT_STR on the whole string).
+    Splitting, trimming and lexicon lookups are Arrow compute kernels over the
+    flat token array; neighbours are read by shifted index (only around tokens
+    with a valence); per-text sums by bincount, in token order."""
+    arr = pa.array(texts.fillna("").to_numpy(dtype=object), pa.large_string())
+    n_docs = len(arr)
+    lists = pc.split_pattern(arr, " ")
+    offs = lists.offsets.to_numpy()
+    empty = pc.utf8_length(arr).to_numpy(zero_copy_only=False) == 0
+    n = np.where(empty, 0, np.diff(offs))
+    toks = pc.utf8_trim(lists.flatten(), characters=_string.punctuation)
+    v = _lookup(toks, lexicon)
+    v[np.repeat(empty, np.diff(offs))] = 0.0
+    out = np.zeros(n_docs)
+    nz = np.flatnonzero(v)
     if len(nz):
-        isneg = flat.isin(negations).to_numpy()
-        bval = flat.map(boosters).fillna(0.0).to_numpy(dtype=np.float64)
-        p = pos[nz]
-        b = np.where(p >= 1, bval[np.maximum(nz - 1, 0)], 0.0)
-        vv = v[nz] + np.sign(v[nz]) * b
+        doc = np.repeat(np.arange(n_docs), np.diff(offs))
+        p = nz + offs[0] - offs[:-1][doc[nz]]                  # position within its text
+        b = _lookup(toks, boosters)
+        isneg = pc.is_in(toks, value_set=pa.array(sorted(negations), pa.string())).to_numpy(zero_copy_only=False)
+        vv = v[nz] + np.sign(v[nz]) * np.where(p >= 1, b[np.maximum(nz - 1, 0)], 0.0)
         negated = np.zeros(len(nz), dtype=bool)
         for back in range(1, NEG_WINDOW + 1):
             negated |= (p >= back) & isneg[np.maximum(nz - back, 0)]
         vv = np.where(negated, vv * NEGATION_SCALAR, vv)
-        sums = np.bincount(doc[nz], weights=vv, minlength=len(s))
+        sums = np.bincount(doc[nz], weights=vv, minlength=n_docs)
         out = sums / np.sqrt(sums * sums + COMPOUND_ALPHA)
     out = np.clip(out, -1.0, 1.0)
     out[n == 0] = 0.0
-    return pd.Series(out)
+    return pd.Series(out), n
+
+
+def _score_batch(texts: pd.Series, lexicon: dict, negations: frozenset, boosters: dict) -> pd.Series:
+    """Sentiment of normalised, punctuation-stripped texts."""
+    return _score_texts(texts, lexicon, negations, boosters)[0]
 
 
 def sentiment_udf(lexicon: dict[str, float], negations: list[str], boosters: dict[str, float]):
@@ -202,11 +219,12 @@ MAX_LEXICON = 200_000
 
 
 def lexicon_dict(lex_df) -> dict[str, float]:
-    """Collect a (token, valence) table after checking its size."""
-    n = lex_df.count()
-    if n > MAX_LEXICON:
-        raise ValueError(f"lexicon has {n} entries; more than {MAX_LEXICON} cannot be a map literal")
-    return {r[0]: float(r[1]) for r in lex_df.select("token", "valence").collect()}
+    """Collect a (token, valence) table after checking its size: one job that
+    reads at most MAX_LEXICON + 1 rows."""
+    rows = lex_df.select("token", "valence").limit(MAX_LEXICON + 1).collect()
+    if len(rows) > MAX_LEXICON:
+        raise ValueError(f"lexicon has more than {MAX_LEXICON} entries; it cannot travel with the function")
+    return {r[0]: float(r[1]) for r in rows}
 
 
 # ---------------------------------------------------------------- one-pass Arrow text features
@@ -217,14 +235,11 @@ def lexicon_dict(lex_df) -> dict[str, float]:
 # CPython's C string methods takes a few seconds. Same patterns, same order.
 
 import re as _re  # noqa: E402
-import string as _string  # noqa: E402
 
 _JAVA_WS = "[ \\t\\n\\x0b\\f\\r]"
 _PY_COMMENT = _re.compile(r"<!--.*?-->", _re.S)
 _PY_BLOCKS = [_re.compile(rf"<{t}\b.*?</{t}{_JAVA_WS}*>", _re.S | _re.I) for t in ("script", "style", "template")]
 _PY_TAG = _re.compile(r"<[!/?a-zA-Z][^>]*>", _re.S)
-_PUNCT = _re.escape(_string.punctuation)
-_PY_EDGE = _re.compile(rf"(^|(?<= ))[{_PUNCT}]+|[{_PUNCT}]+((?= )|$)")
 
 
 def _clean_one(s) -> str:
@@ -244,10 +259,8 @@ def _clean_one(s) -> str:
 def text_features_batch(texts: pd.Series, lexicon: dict, negations: frozenset, boosters: dict,
                         keep_cleaned: bool = False) -> pd.DataFrame:
     cleaned = texts.map(_clean_one)
-    n_words = cleaned.map(lambda c: 0 if c == "" else c.count(" ") + 1).astype("int32")
-    stripped = cleaned.map(lambda c: _PY_EDGE.sub("", c))
-    sent = _score_batch(stripped, lexicon, negations, boosters)
-    out = pd.DataFrame({"text_len_words": n_words.to_numpy(), "sentiment": sent.to_numpy()})
+    sent, n_words = _score_texts(cleaned, lexicon, negations, boosters)
+    out = pd.DataFrame({"text_len_words": n_words.astype("int32"), "sentiment": sent.to_numpy()})
     if keep_cleaned:
         out["cleaned_text"] = cleaned.to_numpy()
     return out

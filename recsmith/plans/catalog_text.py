@@ -65,8 +65,7 @@ TEXT_FEATS = f"""{DOC_CLEAN}, {O.sentiment_ctes('dc', 'doc_id', 'c')},
 @register("text_features", f"""WITH {TEXT_FEATS}
   SELECT row_id, split, text_len_words, round(sentiment, 6) AS sentiment FROM ixt""")
 def q_text_features(spark, d):
-    ix = td.interactions(spark, d, with_text=True)
-    return FB.text_features(ix, spark).select("row_id", "split", "text_len_words", "sentiment")
+    return FB.interaction_text_features(spark, d).select("row_id", "split", "text_len_words", "sentiment")
 
 
 MANIFEST = f"""{O.ix_cte('pr', pics=True)},

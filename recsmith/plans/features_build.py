@@ -25,10 +25,35 @@ def text_features(df: DataFrame, spark: SparkSession, text_col: str = "review_te
     return TX.with_text_features(df, text_col, lex, neg, boost, keep_cleaned)
 
 
+def keyed_text_features(rows: DataFrame, texts: DataFrame, spark: SparkSession,
+                        key: str = "text_key", text_col: str = "review_text",
+                        keep_cleaned: bool = False) -> DataFrame:
+    """Text features for ``rows`` whose text is the ``texts`` row at ``key``.
+
+    The features are a function of the text alone, so they are computed once
+    per text on the text table (whole texts, one Arrow pass, spread over the
+    cluster) and joined to the rows on the key: the join moves a few bytes per
+    row instead of the text, and a text shared by many rows is processed once.
+    A row whose key has no text gets the features of the empty text."""
+    src = td.spread(texts.select(key, text_col), key)
+    tf = text_features(src, spark, text_col, keep_cleaned).drop(text_col)
+    out = rows.join(tf, key, "left").drop(key)
+    fill = {"text_len_words": F.lit(0), "sentiment": F.lit(0.0)}
+    if keep_cleaned:
+        fill["cleaned_text"] = F.lit("")
+    return out.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
+
+
+def interaction_text_features(spark: SparkSession, sf_dir: str, keep_cleaned: bool = False) -> DataFrame:
+    """Interaction rows with text_len_words, sentiment (and cleaned_text)."""
+    ix = td.interactions(spark, sf_dir, with_text_key=True)
+    return keyed_text_features(ix, td.text_source(spark, sf_dir), spark, keep_cleaned=keep_cleaned)
+
+
 def dense_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per interaction row: the 8 raw features in FEATURE_ORDER."""
-    ix = td.interactions(spark, sf_dir, with_text=True)
-    tf = text_features(ix, spark).drop("review_text", "cleaned_text")
+    ix = td.interactions(spark, sf_dir)
+    tf = interaction_text_features(spark, sf_dir)
     manifest = FT.image_manifest(td.interactions(spark, sf_dir, with_pics=True))
     tf = FT.join_image_counts(tf, manifest)
     mu, users, items = ST.train_stats(ix.select("split", "user_id", "business_id", "rating"))

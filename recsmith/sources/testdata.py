@@ -71,13 +71,22 @@ def _split_expr(user_num, item_num, row_num) -> F.Column:
             .otherwise("train"))
 
 
+def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review texts keyed by the text key of the interaction rows:
+    (text_key, review_text)."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("text_key"), F.col("text").alias("review_text"))
+
+
 def interactions(spark: SparkSession, sf_dir: str, with_text: bool = False,
                  with_vectors: bool = False, with_pics: bool = False,
-                 with_history: bool = False, with_name: bool = False) -> DataFrame:
+                 with_history: bool = False, with_name: bool = False,
+                 with_text_key: bool = False) -> DataFrame:
     """Interaction rows (row_id, split, business_id, user_id, rating [, ...]).
 
     Optional columns are joined only when asked for, so plans that do not
-    need text or vectors never touch those tables.
+    need text or vectors never touch those tables. ``with_text_key`` adds the
+    key of the row's review in ``text_source`` (no join).
     """
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "props")
     k = F.get_json_object("props", "$.k").cast("int")
@@ -90,6 +99,8 @@ def interactions(spark: SparkSession, sf_dir: str, with_text: bool = False,
         k.alias("_k"),
     )
     n_vecs = row_count(spark, sf_dir, "embeddings") if (with_vectors or with_pics) else None
+    if with_text_key:
+        df = df.withColumn("text_key", F.col("row_id") % F.lit(row_count(spark, sf_dir, "documents")))
     if with_text:
         # per-row text work follows: spread the (narrow) event rows before the text join
         df = spread(df, "row_id")

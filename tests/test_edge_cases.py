@@ -59,6 +59,39 @@ def test_sentiment_matches_jvm_form(spark):
         assert r["s"] == pytest.approx(r["s2"], abs=1e-12)
 
 
+def test_text_features_batch_matches_jvm_chain(spark):
+    lex = {"good": 2.0, "bad": -2.0, "ok": 0.5}
+    neg, boost = ["not", "never"], {"very": 0.293}
+    texts = ["<p>Good &amp; <b>bad</b></p>", "  not\tvery good!! ", None, "", "!!! ...", "ok,ok;ok (not) ok",
+             "<script>bad</script>never  bad", "x" * 50 + " good"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    a = TX.with_text_features(df, "t", lex, neg, boost, keep_cleaned=True)
+    b = (df.withColumn("c", TX.clean_html_text("t")).withColumn("n", TX.word_count("c")))
+    b = TX.with_sentiment(b, "c", "s", lex, neg, boost)
+    got = {r["id"]: (r["cleaned_text"], r["text_len_words"], r["sentiment"]) for r in a.collect()}
+    for r in b.collect():
+        c, n, s = got[r["id"]]
+        assert (c, n) == (r["c"], r["n"])
+        assert s == pytest.approx(r["s"], abs=1e-12)
+
+
+def test_keyed_text_features_equal_per_row(spark):
+    from recsmith.plans import features_build as FB
+    lex, neg, boost = FB.sentiment_params(spark)
+    texts = spark.createDataFrame([(0, "Great <b>day</b>"), (1, "not very bad"), (2, None)],
+                                  "text_key long, review_text string")
+    rows = spark.createDataFrame([(10, 0), (11, 1), (12, 0), (13, 2), (14, 7)], "row_id long, text_key long")
+    keyed = {r["row_id"]: (r["text_len_words"], r["sentiment"])
+             for r in FB.keyed_text_features(rows, texts, spark).collect()}
+    per_row = rows.join(texts, "text_key", "left")
+    per_row = TX.with_text_features(per_row, "review_text", lex, neg, boost)
+    assert len(keyed) == 5
+    for r in per_row.collect():
+        n, s = keyed[r["row_id"]]
+        assert n == r["text_len_words"]
+        assert s == pytest.approx(r["sentiment"], abs=1e-12)
+
+
 def test_l2_normalize_zero_and_null(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],), (None,)], "v array<float>")
     got = [r[0] for r in df.select(V.l2_normalize("v")).collect()]
