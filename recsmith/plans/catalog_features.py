@@ -126,7 +126,7 @@ REC = O.records_cte()
          CAST(len(pics) AS INTEGER) AS n_raw
   FROM rec""")
 def q_clean_pic_ids(spark, d):
-    r = td.raw_records(spark, d)
+    r = td.interactions(spark, d, with_pics=True)
     return r.select("row_id", F.size(FT.clean_pic_ids("pics")).alias("n_pics"), F.size("pics").alias("n_raw"))
 
 
@@ -138,7 +138,7 @@ MANIFEST_SQL = f"""WITH {REC}
 
 @register("image_manifest", MANIFEST_SQL)
 def q_image_manifest(spark, d):
-    return FT.image_manifest(td.raw_records(spark, d))
+    return FT.image_manifest(td.interactions(spark, d, with_pics=True))
 
 
 @register("image_manifest_pics", f"""WITH {REC}
@@ -147,13 +147,13 @@ def q_image_manifest(spark, d):
            unnest(generate_series(0, len(list_filter(pics, lambda p: p IS NOT NULL AND p <> '')) - 1)) AS pic_pos
     FROM rec WHERE business_id IS NOT NULL)""")
 def q_image_manifest_pics(spark, d):
-    return FT.manifest_pictures(td.raw_records(spark, d))
+    return FT.manifest_pictures(td.interactions(spark, d, with_pics=True))
 
 
 @register("has_image_flag", f"""WITH m AS ({MANIFEST_SQL})
   SELECT business_id, split, pic_count, CAST(pic_count > 0 AS INTEGER) AS has_image FROM m""")
 def q_has_image_flag(spark, d):
-    m = FT.image_manifest(td.raw_records(spark, d))
+    m = FT.image_manifest(td.interactions(spark, d, with_pics=True))
     return m.select("business_id", "split", "pic_count", (F.col("pic_count") > 0).cast("int").alias("has_image"))
 
 
@@ -162,7 +162,7 @@ def q_has_image_flag(spark, d):
          CAST(coalesce(m.pic_count, 0) > 0 AS INTEGER) AS has_image
   FROM ix LEFT JOIN m USING (business_id, split)""")
 def q_join_image_counts(spark, d):
-    m = FT.image_manifest(td.raw_records(spark, d))
+    m = FT.image_manifest(td.interactions(spark, d, with_pics=True))
     return FT.join_image_counts(_ix(spark, d), m).select("row_id", "split", "pic_count", "has_image")
 
 
@@ -170,7 +170,7 @@ def q_join_image_counts(spark, d):
   SELECT DISTINCT unnest(list_filter(pics, lambda p: p IS NOT NULL AND p <> '')) AS pic_id,
          CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS local_path FROM rec""")
 def q_distinct_pictures(spark, d):
-    r = td.raw_records(spark, d)
+    r = td.interactions(spark, d, with_pics=True)
     return (r.select(F.explode(FT.clean_pic_ids("pics")).alias("pic_id")).distinct()
             .withColumn("url", F.lit(None).cast("string")).withColumn("local_path", F.lit(None).cast("string")))
 
@@ -191,7 +191,7 @@ IMG_POOL_SQL = f"""WITH {REC},
          round(CAST(CAST(m.v / mn.n AS FLOAT) AS DOUBLE), 6) AS img_emb, mn.n_pics
   FROM m JOIN mn USING (business_id, split)""")
 def q_image_pool(spark, d):
-    mp = FT.manifest_pictures(td.raw_records(spark, d))
+    mp = FT.manifest_pictures(td.interactions(spark, d, with_pics=True))
     pooled = FT.image_pool(mp, td.picture_vectors(spark, d))
     return pooled.select("business_id", "split", F.posexplode("img_emb").alias("pos", "img_emb"), "n_pics").select(
         "business_id", "split", (F.col("pos") + 1).cast("int").alias("pos"), F.col("img_emb").cast("double"), "n_pics")
@@ -205,7 +205,7 @@ def q_image_pool(spark, d):
          round(coalesce(p.s, 0.0), 6) AS img_sum
   FROM ix LEFT JOIN pooled p USING (business_id, split)""")
 def q_join_item_images(spark, d):
-    mp = FT.manifest_pictures(td.raw_records(spark, d))
+    mp = FT.manifest_pictures(td.interactions(spark, d, with_pics=True))
     pooled = FT.image_pool(mp, td.picture_vectors(spark, d))
     j = FT.join_item_images(_ix(spark, d), pooled, 64)
     return j.select("row_id", "split", "img_missing",

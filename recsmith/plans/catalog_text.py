@@ -40,7 +40,7 @@ def q_char_length_profile(spark, d):
   SELECT row_id, CAST(coalesce(len(pics), 0) AS INTEGER) AS pics_len,
          CAST(coalesce(len(history_reviews), 0) AS INTEGER) AS history_len FROM rec""")
 def q_list_length(spark, d):
-    r = td.raw_records(spark, d)
+    r = td.interactions(spark, d, with_pics=True, with_history=True)
     return r.select("row_id", TX.list_length("pics").alias("pics_len"),
                     TX.list_length("history_reviews").alias("history_len"))
 

@@ -88,7 +88,9 @@ def interactions(spark: SparkSession, sf_dir: str, with_text: bool = False,
     need text or vectors never touch those tables. ``with_text_key`` adds the
     key of the row's review in ``text_source`` (no join).
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "props")
+    # a small events file is read as one split; spread it so every plan that
+    # starts here runs on all cores (a no-op on inputs with enough splits)
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "value", "props"), "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     df = ev.select(
         F.col("event_id").alias("row_id"),
@@ -102,8 +104,6 @@ def interactions(spark: SparkSession, sf_dir: str, with_text: bool = False,
     if with_text_key:
         df = df.withColumn("text_key", F.col("row_id") % F.lit(row_count(spark, sf_dir, "documents")))
     if with_text:
-        # per-row text work follows: spread the (narrow) event rows before the text join
-        df = spread(df, "row_id")
         n_docs = row_count(spark, sf_dir, "documents")
         docs = table(spark, sf_dir, "documents").select(
             F.col("doc_id").alias("_doc"), F.col("text").alias("review_text"))
@@ -128,14 +128,19 @@ def interactions(spark: SparkSession, sf_dir: str, with_text: bool = False,
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full records as the ingest stage sees them (all optional fields)."""
+    """Full records as the ingest stage sees them (all optional fields).
+
+    Plans that use a few fields ask ``interactions`` for just those: the text
+    and name joins are many-to-one on unique keys (they add no rows), but the
+    planner cannot know that and would keep them."""
     return interactions(spark, sf_dir, with_text=True, with_pics=True, with_history=True, with_name=True)
 
 
 def ratings_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem join orders as a large ratings table with the unique row key."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"),
+        "l_orderkey")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
     return j.select(
