@@ -3,6 +3,7 @@ overlap, per request."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +36,24 @@ def topk_overlap(base: DataFrame, steered: DataFrame, queries: DataFrame) -> Dat
             .select("query_id", F.coalesce(F.col("overlap"), F.lit(0)).alias("overlap")))
 
 
-def joined_ids(df: DataFrame, by: list[str], n: int, out: str) -> DataFrame:
-    """ids of ranks 1..n joined with ',' (at most n per group)."""
-    small = df.filter(F.col("rank") <= n)
-    agg = small.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "business_id"))).alias("_l"))
-    return agg.select(*by, F.array_join(F.transform("_l", lambda x: x["business_id"]), ",").alias(out))
-
-
 def query_steering(items: DataFrame, queries: DataFrame, k: int = 10, show: int = 5) -> DataFrame:
-    b = base_top(items, k)
+    """Per query: overlap of base and steered top-k, first ``show`` ids of each.
+
+    The base list is query independent (k rows): it is read once and used as
+    a literal. The steered top-k (the blocked similarity product) is consumed
+    by ONE aggregate that yields both the overlap and the top ids, so the
+    product runs once; the per-query list holds at most ``show`` ids."""
+    # the item table feeds both the base list and the product: keep it once
+    items = items.persist(StorageLevel.MEMORY_AND_DISK)
+    base = sorted((int(r["rank"]), r["business_id"]) for r in base_top(items, k).collect())   # k rows
+    base_ids = [bid for _, bid in base]
+    top_base = ",".join(base_ids[:show]) if base_ids else None
     s = steered_top(items, queries, k)
-    ov = topk_overlap(b, s, queries)
-    # the base list is one string of ``show`` ids: a literal, not a join
-    row = joined_ids(b.withColumn("_g", F.lit(1)), ["_g"], show, "top_base").first()
-    st_ids = joined_ids(s, ["query_id"], show, "top_steered")
-    return (ov.join(st_ids, "query_id", "left")
-            .select("query_id", "overlap", F.lit(row["top_base"] if row else None).alias("top_base"), "top_steered"))
+    in_base = (F.col("business_id").isin(*base_ids)) if base_ids else F.lit(False)
+    first = F.when(F.col("rank") <= show, F.struct("rank", "business_id"))
+    agg = s.groupBy("query_id").agg(F.count(F.when(in_base, 1)).alias("overlap"),
+                                    F.array_sort(F.collect_list(first)).alias("_l"))
+    top_steered = F.when(F.size("_l") > 0, F.array_join(F.transform("_l", lambda x: x["business_id"]), ","))
+    return (queries.select("query_id").join(agg, "query_id", "left")
+            .select("query_id", F.coalesce(F.col("overlap"), F.lit(0)).alias("overlap"),
+                    F.lit(top_base).cast("string").alias("top_base"), top_steered.alias("top_steered")))
