@@ -28,9 +28,14 @@ def start(spark: SparkSession, requests_path: str, out_path: str, checkpoint: st
     n_items = items.count()
 
     def rank_batch(batch: DataFrame, batch_id: int) -> None:
-        reqs = batch.dropDuplicates(["query_id"])
-        out = R.recommend(items, reqs, metadata, n_items=n_items)
-        out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        # the batch's requests are counted (block sizes) and ranked: keep them
+        # for this batch only, so a long-running stream holds no old batches
+        reqs = batch.dropDuplicates(["query_id"]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            out = R.recommend(items, reqs, metadata, n_items=n_items, n_queries=reqs.count())
+            out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        finally:
+            reqs.unpersist()
 
     stream = (spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
               .json(requests_path))
