@@ -55,3 +55,23 @@ def test_blocked_similarity_equals_brute_force(spark, bounds):
         for rank, i in enumerate(order, 1):
             want[(q["query_id"], rank)] = ids[i]
     assert got == want
+
+
+def test_block_counts_respect_bounds():
+    """Every block within its row bound, every block pair within the score
+    bound, and a side that fits one block is never split (never replicated)."""
+    import math
+    from recsmith.operators.similarity import block_counts
+
+    for ipb_max, qpb_max, budget in [(20000, 20000, 40_000_000), (7, 5, 30), (1000, 3, 10_000)]:
+        side = math.isqrt(budget)
+        for ni in (1, 5, 99, 1000, 123_457, 10**8):
+            for nq in (1, 3, 500, 2001, 10**6):
+                ib, qb = block_counts(ni, nq, ipb_max, qpb_max, budget)
+                ipb, qpb = math.ceil(ni / ib), math.ceil(nq / qb)
+                assert ipb <= ipb_max and qpb <= qpb_max
+                assert ipb * qpb <= budget
+                if nq <= min(side, qpb_max):
+                    assert qb == 1
+                if ni <= min(side, ipb_max) and nq > min(side, qpb_max):
+                    assert ib == 1
