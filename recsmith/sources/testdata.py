@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -35,8 +36,19 @@ VAL_ITEM_MOD, VAL_ITEM_REM = 25, 3
 ROW_MOD, TEST_ROW_REM, VAL_ROW_REM = 10, 9, 8
 
 
+# schemas of tables already read in this process: a later read of the same
+# path passes its schema, which skips the footer-reading job of inference
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    known = _SCHEMAS.get(path)
+    if known is not None:
+        return spark.read.schema(known).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
