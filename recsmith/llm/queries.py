@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recsmith.llm import langid, license_scan, packing
+from recsmith.llm import decontam, langid, license_scan, packing, quality_rules
 from recsmith.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,91 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (
+          SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
+          FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM tri, (SELECT unnest([0, 1, 2]) AS k)
+        WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             length(regexp_replace(t, '[^A-Z!]', '', 'g'))::BIGINT AS n_shout, len(lines)::BIGINT AS n_lines,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+             [CASE WHEN word_chars > 0 THEN least({bins}, floor({bins} * n_symbols / word_chars)) ELSE 0 END,
+              CASE WHEN word_chars > 0 THEN least({bins}, floor({bins} * n_shout / word_chars)) ELSE 0 END,
+              CASE WHEN n_words > 0 THEN least({bins}, floor({bins} * n_repeat_words / n_words)) ELSE 0 END,
+              CASE WHEN n_lines > 0 THEN least({bins}, floor({bins} * n_dup_lines / n_lines)) ELSE 0 END,
+              CASE WHEN n_words > 0 THEN least({bins}, floor({bins} * word_chars / (32 * n_words))) ELSE 0 END] AS bins
+      FROM m),
+marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+lab AS (SELECT f.*, quality FROM f JOIN marks USING (doc_id) WHERE NOT base_failed),
+common AS (SELECT lang FROM lab GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {max_strata}),
+hist AS (SELECT CASE WHEN lang IN (SELECT lang FROM common) THEN lang ELSE '{other}' END AS stratum, r AS rule,
+                bins[r]::BIGINT AS bin, sum((quality >= 1)::INT) AS clean, sum((quality < 1)::INT) AS bad
+         FROM lab, (SELECT unnest([1, 2, 3, 4, 5]) AS r) GROUP BY ALL),
+tested AS (SELECT *, sum(clean) OVER a AS k, sum(bad) OVER a AS b, sum(clean) OVER (PARTITION BY stratum, rule) AS n
+           FROM hist WINDOW a AS (PARTITION BY stratum, rule ORDER BY bin DESC)),
+sizes AS (SELECT DISTINCT stratum, n FROM tested WHERE n > 0),
+terms AS (SELECT stratum, n, i, exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0)
+                 + i * ln({risk}) + (n - i) * ln(1 - {risk})) AS p
+          FROM (SELECT stratum, n::DOUBLE AS n, unnest(range(0, n::BIGINT)) AS i FROM sizes)),
+lim AS (SELECT stratum, max(i) AS most FROM (
+          SELECT stratum, i, sum(p) OVER (PARTITION BY stratum ORDER BY i) AS cdf FROM terms)
+        WHERE cdf <= {delta} / (((SELECT count(*) FROM common) + 1) * 5) GROUP BY stratum),
+gain AS (SELECT tested.*, b - {clean_weight} * k AS gain FROM tested JOIN lim USING (stratum)
+         WHERE bin > 0 AND k <= most AND b - {clean_weight} * k > 0),
+cuts AS (SELECT stratum, rule, bin FROM gain
+         QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, bin DESC) = 1),
+bad AS (SELECT DISTINCT doc_id FROM f JOIN cuts
+        ON stratum = CASE WHEN lang IN (SELECT lang FROM common) THEN lang ELSE '{other}' END AND bins[rule] >= cuts.bin)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       (NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad)) AS kept
+FROM f
+""".format(bins=quality_rules.BINS, max_strata=quality_rules.MAX_STRATA, other=quality_rules.OTHER,
+           risk=quality_rules.Risk().risk / len(quality_rules.RULES), delta=quality_rules.Risk().delta,
+           clean_weight=quality_rules.CLEAN_WEIGHT)
+
+
+@query("op5_quality_rules", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+OP6_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(ws[s:s + n - 1], ' ') AS span FROM (
+          SELECT item, ws, least(len(ws), 13) AS n, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS s
+          FROM iw WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+spans AS (SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS span FROM (
+            SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM dw, lens WHERE len(ws) >= n)),
+hits AS (SELECT doc_id, n, s, item FROM spans JOIN win USING (n, span)),
+cov AS (SELECT doc_id, count(DISTINCT s + k) AS n_hit FROM (
+          SELECT DISTINCT doc_id, s, unnest(range(0, n)) AS k FROM (SELECT DISTINCT doc_id, n, s FROM hits)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+        FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256,
+       (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws)) AS contaminated
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+@query("op6_decontamination", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read_table(spark, sf_dir, "documents"),
+                                  read_table(spark, sf_dir, "benchmark")).drop("_id", "_key")
+
+
 @query("op9_license_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
