@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recsmith.llm import decontam, langid, license_scan, minhash, packing, quality_rules
+from recsmith.llm import decontam, langid, license_scan, minhash, packing, ppm, quality_rules
 from recsmith.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_minhash_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(read_table(spark, sf_dir, "documents")).drop("key")
+
+
+@query("op8_lm_score")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read_table(spark, sf_dir, "documents"))
