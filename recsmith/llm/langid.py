@@ -156,15 +156,22 @@ class Predictor:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", seed: int = 7) -> Network:
     """Trains on a sample of at most MAX_LANGS * ROWS_PER_LANG rows: of each of
-    the most frequent languages the rows with the smallest id hash."""
+    the most frequent languages about 4 * ROWS_PER_LANG rows by a hash of the id,
+    and of these the ROWS_PER_LANG with the smallest hash."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"),
                        F.col(f"`{text_col}`").alias("text")).filter(
         (split_of(F.col("id")) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    common = [r.lang for r in counts]
     w = Window.partitionBy("lang").orderBy("order", "text")
-    sample = (rows.filter(F.col("lang").isin(common))
-              .select("lang", F.encode(F.substring("text", 1, TRAIN_BYTES), "UTF-8").alias("text"),
-                      F.xxhash64(F.col("id").cast("string"), F.lit(seed)).alias("order"))
+    order = F.xxhash64(F.col("id").cast("string"), F.lit(seed))
+    # the smallest hashes of n rows lie below a share of about ROWS_PER_LANG / n of all hashes: rows far above stay out
+    # of the window, so a language's task reads a few times ROWS_PER_LANG rows however many there are
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 4 * ROWS_PER_LANG / r["count"]))).otherwise(share)
+    sample = (rows.filter(F.col("lang").isin(common)).filter(F.pmod(order, F.lit(1_000_003)) < share * 1_000_003)
+              .select("lang", F.encode(F.substring("text", 1, TRAIN_BYTES), "UTF-8").alias("text"), order.alias("order"))
               .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= ROWS_PER_LANG)
               .orderBy("lang", "rank").select("lang", "text").collect())
     if not sample:
@@ -188,6 +195,23 @@ def predict(text: Column, net: Network) -> Column:
     return run(text)
 
 
+def accepted(text: Column, net: Network, least: float) -> Column:
+    """Whether a text has letters and a language whose score is ``least`` or
+    more; a network without languages asks for letters alone."""
+    holder: list[Predictor] = []
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        if not net.langs:
+            return pd.Series([bool(t) and bool(_LETTER.search(t)) for t in texts])
+        if not holder:
+            holder.append(Predictor(net))
+        lang, score = holder[0].texts(texts.tolist())
+        return pd.Series([a != UNDETERMINED and b >= least for a, b in zip(lang, score, strict=True)])
+
+    return run(text)
+
+
 def identify(docs: DataFrame, net: Network | None = None, text_col: str = "text", lang_col: str = "lang",
              id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recsmith.llm import decontam, langid, license_scan, minhash, packing, ppm, quality_rules
+from recsmith.llm import (
+    decontam, html_extract, langid, license_scan, minhash, packing, ppm, quality_rules, url_filter, warc)
 from recsmith.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +136,33 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_lm_score")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(read_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, strlen(t) AS payload_bytes, upper(sha1(t)) AS hex, min(page_id) OVER (PARTITION BY t) AS first_id FROM p),
+b AS (SELECT *, [('0x' || hex[10 * k + 1:10 * k + 10])::BIGINT FOR k IN [0, 1, 2, 3]] AS v FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string([substr('{base32}', (((v[(j // 8 + 1)::INT] >> (35 - 5 * (j % 8))) & 31) + 1)::INT, 1)
+                        FOR j IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+""".format(base32=warc.BASE32)
+
+
+@query("op4_warc", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+@query("op7_url_filter")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    labelled = url_filter.labels_of_pages(pages, read_table(spark, sf_dir, "labels"))
+    return url_filter.judge(pages, labelled).drop("mined")
+
+
+@query("op10_html_extract")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
