@@ -116,9 +116,11 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", id_
                                      lambda x: x.isNotNull())
     around = F.array_distinct(F.flatten(F.transform(hit_at(F.col("gram")), lambda p: F.sequence(
         F.greatest(p - (W - 1), F.lit(0)), F.least(p, n - SPAN)))))
-    spans = [F.when(n >= SPAN, F.transform(around, lambda s: F.struct(s.alias("start"), F.lit(SPAN).alias("len"))))]
-    spans += [F.transform(hit_at(span_hashes(words, m)), lambda s, m=m: F.struct(s.alias("start"), F.lit(m).alias("len")))
-              for m in short]
+
+    def of_length(starts: Column, m: int) -> Column:
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(m).alias("len")))
+
+    spans = [F.when(n >= SPAN, of_length(around, SPAN)), *[of_length(hit_at(span_hashes(words, m)), m) for m in short]]
     none = F.array().cast("array<struct<start:int,len:int>>")
     some = some.select("_id", "_key", "words", F.explode_outer(F.concat(*[F.coalesce(s, none) for s in spans])).alias("s"))
     some = some.select("_id", "_key", "s.start", "s.len",
