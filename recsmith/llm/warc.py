@@ -89,7 +89,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, rows_per_file: int
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Every place that looks like a record: file, at, next, whether all its
-    bytes were there, its fields, and the length and digest of its payload.
+    bytes were there, its fields, and the length and digest of its payload; and
+    a row without ``next`` at each file's end.
 
     The files are read in pieces between empty lines. A candidate's header ends
     with its piece; its block is summed up while later pieces go by, so a task
@@ -112,6 +113,13 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             digest = base64.b32encode(c["sha"].digest()).decode() if whole else None
             done.append((c["file"], c["at"], c["next"], whole, *c["fields"], size, digest))
 
+        def end_file() -> None:
+            for c in open_:
+                close(c, False)
+            open_.clear()
+            if here is not None:
+                done.append((here, at, None, True, None, None, None, None, None, None))
+
         def feed(data: bytes, start: int) -> None:
             """Bytes from file offset ``start`` on go to the candidates that own them."""
             for c in list(open_):
@@ -138,9 +146,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 if b:
                     raise ValueError(f"{f} was split between tasks; archives are read whole, write them compressed")
                 if f != here:
-                    for c in open_:
-                        close(c, False)
-                    open_.clear()
+                    end_file()
                     here, at = f, 0
                 end = at + len(value) + 4
                 feed(value + b"\r\n\r\n", at)
@@ -159,8 +165,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 at = end
             if len(done) > 20_000:
                 yield table(done)
-        for c in open_:
-            close(c, False)
+        end_file()
         yield table(done)
 
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
@@ -178,7 +183,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 def chain(found: DataFrame) -> DataFrame:
     """(file, at) of the candidates that a file's chain of records reaches, by
     pointer jumping from offset 0."""
-    jump = materialize(found.select("file", "at", "next"), "warc-jump")
+    jump = materialize(found.filter("next is not null").select("file", "at", "next"), "warc-jump")
     marked = materialize(jump.filter("at = 0").select("file", "at"), "warc-marked")
     n = marked.count()
     while True:
@@ -199,9 +204,11 @@ def chain(found: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record."""
     found = materialize(candidates(spark, path), "warc-candidates")
-    real = materialize(found.join(chain(found), ["file", "at"]), "warc-records")
-    ends = real.select("file", F.col("next").alias("at")).join(real.select("file", "at"), ["file", "at"], "left_anti")
-    odd = real.filter(~F.col("whole")).limit(1).collect() or ends.groupBy("file").count().filter("count > 1").limit(1).collect()
+    real = materialize(found.filter("next is not null").join(chain(found), ["file", "at"]), "warc-records")
+    # the last record of a file's chain ends where the file does
+    ends = found.filter("next is null").select("file", F.col("at").alias("next"))
+    odd = (real.filter(~F.col("whole")).select("file").limit(1).collect()
+           or ends.join(real.select("file", "next"), ["file", "next"], "left_anti").limit(1).collect())
     if odd:
         raise ValueError(f"broken archive: {odd[0].file}")
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
