@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 # fixed values: display constants
 ORIGIN = "http://127.0.0.1:8000"
-CARD_PLACEHOLDER = "https://via.placeholder.com/400x260?text=SmartDine"
+CARD_PLACEHOLDER = "https://via.placeholder.com/400x260?text=No+Image"
 DETAIL_PLACEHOLDER = "https://via.placeholder.com/800x400?text=No+Image"
 UNKNOWN_NAME = "Unknown Restaurant"
 NO_ADDRESS = "Address not available"

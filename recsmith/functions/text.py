@@ -1,8 +1,10 @@
 """Text column functions: HTML stripping, whitespace normalisation, word
 counts and a lexicon sentiment score, all as JVM-side expressions.
 
-Only entities outside the fixed named list (numeric ones, rare names) need
-Python; ``unescape="full"`` routes just those rows through an Arrow UDF.
+Character references are decoded in full (named, decimal, hexadecimal, also
+without the closing semicolon where HTML allows it) by one definition, Python's
+``html.unescape``: texts with an ampersand pass an Arrow UDF, others stay in the
+JVM.
 """
 
 from __future__ import annotations
@@ -21,16 +23,13 @@ from pyspark.sql import functions as F
 COMMENT_RE = r"(?s)<!--.*?-->"
 BLOCK_RES = [r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>",
              r"(?is)<template\b.*?</template\s*>"]
-TAG_RE = r"(?s)<[!/?a-zA-Z][^>]*>"
-# fixed values: named entities decoded in the JVM; &amp; goes last
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-            ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+# a tag ends at the first > outside a quoted attribute value
+TAG_RE = r"""(?s)<[!/?a-zA-Z][^>=]*+(?:=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+[^>=]*+)*+>"""
 # fixed value: every character Python's str.split() treats as whitespace
 WS_CLASS = (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
             r"\x{202f}\x{205f}\x{3000}]+")
 # the same set by rule: every code point Python's str.split() splits on
 WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
-OTHER_ENTITY_RE = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
 
 
 def _c(c) -> Column:
@@ -55,14 +54,9 @@ def strip_markup(c) -> Column:
     return F.when(F.instr(c0, "<") > 0, c).otherwise(c0)
 
 
-def decode_entities(c, unescape: str = "named") -> Column:
+def decode_entities(c) -> Column:
     c = _c(c)
-    if unescape == "full":
-        return F.when(c.rlike(OTHER_ENTITY_RE), _unescape_udf(c)).otherwise(c)
-    c0 = c
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return F.when(F.instr(c0, "&") > 0, c).otherwise(c0)
+    return F.when(F.instr(c, "&") > 0, _unescape_udf(c)).otherwise(c)
 
 
 def normalize_ws(c) -> Column:
@@ -75,11 +69,11 @@ def normalize_ws(c) -> Column:
     return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
-def clean_html_text(c, unescape: str = "named") -> Column:
+def clean_html_text(c) -> Column:
     """strip markup (space separator), decode entities, collapse Unicode
     whitespace, lowercase; null -> ''."""
     c = F.coalesce(_c(c), F.lit(""))
-    return F.lower(normalize_ws(decode_entities(strip_markup(c), unescape)))
+    return F.lower(normalize_ws(decode_entities(strip_markup(c))))
 
 
 def word_count(cleaned) -> Column:
@@ -214,17 +208,35 @@ def with_sentiment(df, cleaned: str, out: str, lexicon: dict[str, float], negati
     return df.withColumn(out, sentiment_udf(lexicon, negations, boosters)(stripped))
 
 
-# bound on a lexicon turned into a map literal
+# entries of a lexicon that travel with the function; a larger one is joined
 MAX_LEXICON = 200_000
 
 
-def lexicon_dict(lex_df) -> dict[str, float]:
-    """Collect a (token, valence) table after checking its size: one job that
-    reads at most MAX_LEXICON + 1 rows."""
+def lexicon_dict(lex_df) -> dict[str, float] | None:
+    """A (token, valence) table as a dictionary, or None if it has more than
+    MAX_LEXICON rows (then use ``with_sentiment_join``)."""
     rows = lex_df.select("token", "valence").limit(MAX_LEXICON + 1).collect()
-    if len(rows) > MAX_LEXICON:
-        raise ValueError(f"lexicon has more than {MAX_LEXICON} entries; it cannot travel with the function")
-    return {r[0]: float(r[1]) for r in rows}
+    return {r[0]: float(r[1]) for r in rows} if len(rows) <= MAX_LEXICON else None
+
+
+def with_sentiment_join(df, key: str, cleaned: str, out: str, lexicon, negations: list[str], boosters: dict[str, float]):
+    """As ``with_sentiment`` with the lexicon as a table (token, valence): each
+    token goes to the join with its three predecessors, and the scores are
+    summed by the unique ``key``. For lexicons too large to travel."""
+    w = F.split(F.regexp_replace(F.col(cleaned), EDGE_PUNCT_STR, ""), " ")
+    rows = df.select(F.col(key).alias("_key"), w.alias("_w"))
+    before = [F.get("_w", F.col("_i") - k).alias(f"_p{k}") for k in range(1, NEG_WINDOW + 1)]
+    toks = (rows.select("_key", "_w", F.posexplode_outer("_w").alias("_i", "token")).select("_key", "token", *before)
+            .join(lexicon.select("token", F.col("valence").alias("_v")), "token").filter("_v != 0"))
+    boost = F.coalesce(F.element_at(F.create_map(*[x for k, v in boosters.items() for x in (F.lit(k), F.lit(float(v)))]),
+                                    F.coalesce("_p1", F.lit(""))), F.lit(0.0))
+    negated = F.lit(False)
+    for k in range(1, NEG_WINDOW + 1):
+        negated = negated | F.coalesce(F.col(f"_p{k}").isin(list(negations)), F.lit(False))
+    v = F.col("_v") + F.signum("_v") * boost
+    s = toks.groupBy("_key").agg(F.sum(F.when(negated, v * NEGATION_SCALAR).otherwise(v)).alias("_s"))
+    score = F.coalesce(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + COMPOUND_ALPHA), F.lit(0.0))
+    return df.join(s.withColumnRenamed("_key", key), key, "left").withColumn(out, score).drop("_s")
 
 
 # ---------------------------------------------------------------- one-pass Arrow text features
@@ -239,7 +251,7 @@ import re as _re  # noqa: E402
 _JAVA_WS = "[ \\t\\n\\x0b\\f\\r]"
 _PY_COMMENT = _re.compile(r"<!--.*?-->", _re.S)
 _PY_BLOCKS = [_re.compile(rf"<{t}\b.*?</{t}{_JAVA_WS}*>", _re.S | _re.I) for t in ("script", "style", "template")]
-_PY_TAG = _re.compile(r"<[!/?a-zA-Z][^>]*>", _re.S)
+_PY_TAG = _re.compile(TAG_RE)
 
 
 def _clean_one(s) -> str:
@@ -251,8 +263,7 @@ def _clean_one(s) -> str:
             s = p.sub(" ", s)
         s = _PY_TAG.sub(" ", s)
     if "&" in s:
-        for ent, ch in ENTITIES:
-            s = s.replace(ent, ch)
+        s = html.unescape(s)
     return " ".join(s.split()).lower()
 
 

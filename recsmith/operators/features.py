@@ -101,8 +101,11 @@ def image_pool(manifest_pics: DataFrame, pictures: DataFrame, by=("business_id",
     Groups whose pictures have no vector do not appear (-> null downstream).
     """
     pv = pictures.select("pic_id", V.l2_normalize("img_vec").alias("v"))
-    j = manifest_pics.join(pv, "pic_id", "inner")
-    pooled = j.groupBy(*by).agg(vector_mean("v", "m"), F.count(F.lit(1)).alias("n_pics"))
+    # a picture that a group has many times joins its vector once, with its count as weight
+    times = manifest_pics.groupBy(*by, "pic_id").agg(F.count(F.lit(1)).alias("_w"))
+    j = times.join(pv, "pic_id", "inner")
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("v")), F.col("_w").cast("double")))
+    pooled = j.groupBy(*by).agg(mean.alias("m"), F.sum("_w").alias("n_pics"))
     return pooled.select(*by, V.l2_normalize("m").cast("array<float>").alias("img_emb"), "n_pics")
 
 

@@ -36,7 +36,7 @@ def accepted(status: str = "status", content_type: str = "content_type") -> F.Co
 def fetch_outcome(pictures: DataFrame, attempts: DataFrame, listing: DataFrame) -> DataFrame:
     """Per picture: 'present' (file already there), 'saved' (first accepted base
     wins) or 'failed'; the chosen url for saved ones."""
-    present = listing.filter(F.col("length") > 0).select("pic_id", F.lit(1).alias("_present"))
+    present = listing.filter(F.col("length") > 0).select("pic_id").distinct().withColumn("_present", F.lit(1))
     best = (attempts.filter(accepted()).groupBy("pic_id")
             .agg(F.min_by("url", "base_pos").alias("url")))
     j = pictures.join(present, "pic_id", "left").join(best, "pic_id", "left")

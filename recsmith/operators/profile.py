@@ -5,11 +5,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from recsmith.operators.sequence import positions
+from recsmith.session import stored
 
 
 def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -27,32 +26,35 @@ def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, col: str, qs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Linear-interpolated quantiles (pandas/NumPy 'linear') found by rank:
-    a range-partitioned sort numbers the non-null values 0..n-1, and only the
-    rows at floor/ceil of q*(n-1) are read back. Memory per task stays bounded
-    whatever the number of distinct values (a value->count buffer would not)."""
-    vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = vals.count()
+    """Linear-interpolated quantiles (pandas/NumPy 'linear') found by rank among
+    the counts of the distinct values: counted with partial aggregation, ranged
+    over partitions, and only the partitions that hold a wanted rank (at
+    floor/ceil of q*(n-1)) are summed up value by value."""
     spark = df.sparkSession
+    vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = stored(vals.groupBy("v").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(parts, "v")
+                    .withColumn("pid", F.spark_partition_id()), "value-counts")
+    sizes = sorted((r["pid"], r["n"]) for r in counts.groupBy("pid").agg(F.sum("n").alias("n")).collect())  # a row per partition
+    n = sum(k for _, k in sizes)
     if n == 0:
         return spark.createDataFrame([(float(q), None) for q in qs], "q double, value double")
-    need = {}
-    for q in qs:
-        h = q * (n - 1)
-        lo, hi = math.floor(h), math.ceil(h)
-        need[q] = (lo, hi, h - lo)
-    ranks = sorted({r for lo, hi, _ in need.values() for r in (lo, hi)})
-    # a tiebreak lets the range partitioner split runs of equal values (a
-    # 5-valued rating column would otherwise put whole values in one task);
-    # the value found at a rank does not depend on how ties are ordered
-    vals = vals.withColumn("_t", F.monotonically_increasing_id())
-    picked = positions(vals, ["v", "_t"], "rk", (), 0).filter(F.col("rk").isin(ranks)).select("rk", "v")
-    got = {int(r["rk"]): float(r["v"]) for r in picked.collect()}   # <= 2 rows per quantile
+    need = {q: (math.floor(q * (n - 1)), math.ceil(q * (n - 1)), q * (n - 1) - math.floor(q * (n - 1))) for q in qs}
+    got, before = {}, 0
+    for pid, size in sizes:
+        ranks = sorted({r - before for lo, hi, _ in need.values() for r in (lo, hi) if before <= r < before + size})
+        if ranks:
+            w = Window.partitionBy("pid").orderBy("v")
+            upto = counts.filter(F.col("pid") == pid).select("v", "n", F.sum("n").over(w).alias("upto"))
+            hit = F.filter(F.array(*[F.lit(r) for r in ranks]), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+            for r in upto.select("v", F.explode_outer(hit).alias("r")).filter("r is not null").collect():   # <= 2 rows per quantile
+                got[before + int(r["r"])] = float(r["v"])
+        before += size
     rows = [(float(q), got[lo] + (got[hi] - got[lo]) * f) for q, (lo, hi, f) in need.items()]
     return spark.createDataFrame(rows, "q double, value double")
 
 
-def describe_numeric(df: DataFrame, col: str, exact_distinct_limit: int | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, col: str) -> DataFrame:
     """count, mean, std (sample), min, 25%, 50%, 75%, max as (stat, value)."""
     spark = df.sparkSession
     a = df.agg(F.count(col).cast("double").alias("count"), F.avg(col).alias("mean"),
@@ -106,6 +108,3 @@ def guarded_corr(a: str, b: str) -> F.Column:
     under ANSI mode)."""
     den = F.stddev_pop(a) * F.stddev_pop(b)
     return F.when(den > 0, F.covar_pop(a, b) / den)
-
-
-FLOAT_TYPES = (T.DoubleType, T.FloatType)

@@ -19,8 +19,6 @@ from pyspark.sql import types as T
 
 from recsmith.session import checkpoint_dir
 
-MAX_BROADCAST_OFFSETS = 1_000_000
-
 
 def _local_positions(by: list[str], out: str):
     def fn(it):
@@ -60,11 +58,8 @@ def positions(df: DataFrame, order_cols: list[str], out: str = "pos", by: list[s
     counts = srt.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    # the offsets table has n_partitions x n_groups rows: broadcast it only
-    # when that is checked to be small, otherwise a shuffled join
-    offs = offs.persist()
-    small = offs.count() <= MAX_BROADCAST_OFFSETS
-    j = loc.join(F.broadcast(offs) if small else offs, ["_pid", *by], "inner")
+    # n_partitions x n_groups rows: the planner broadcasts it if it is small
+    j = loc.join(offs, ["_pid", *by], "inner")
     return j.withColumn(out, F.col("_off") + F.col("_local") + F.lit(start)).drop("_pid", "_local", "_off")
 
 

@@ -104,14 +104,21 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# fixed values: tags, and the entities that the pages contain, for the SQL side
+_SQL_TAG = r"""(?s)<[!/?a-zA-Z][^>=]*(?:=(?:\s*(?:"[^"]*"|'[^']*'))?[^>=]*)*>"""
+_SQL_ENTITIES = [("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&nbsp", "\u00a0"), ("&copy", "©"), ("&middot", "·"), ("&amp", "&")]
+
+
 def clean_sql(expr: str) -> str:
-    """clean_html_text in DuckDB SQL, same patterns as functions.text."""
+    """clean_html_text in DuckDB SQL. Entities: those that occur in the tables,
+    with or without the semicolon (tests hold the others against written values)."""
     from recsmith.functions import text as TX
     x = f"coalesce({expr}, '')"
-    for r in [TX.COMMENT_RE, *TX.BLOCK_RES, TX.TAG_RE]:
+    for r in [TX.COMMENT_RE, *TX.BLOCK_RES, _SQL_TAG]:
         x = f"regexp_replace({x}, {_sql_str(r)}, ' ', 'g')"
-    for ent, ch in TX.ENTITIES:
-        x = f"replace({x}, {_sql_str(ent)}, {_sql_str(ch)})"
+    x = f"replace({x}, '&#39;', chr(39))"
+    for ent, ch in _SQL_ENTITIES:
+        x = f"replace(replace({x}, '{ent};', {_sql_str(ch)}), '{ent}', {_sql_str(ch)})"
     return f"lower(trim(regexp_replace({x}, {_sql_str(TX.WS_CLASS)}, ' ', 'g')))"
 
 

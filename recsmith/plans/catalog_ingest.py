@@ -24,6 +24,11 @@ def _records(spark, d):
     return td.raw_records(spark, d)
 
 
+def _pics(spark, d, with_name=False):
+    """Records with the fields that picture and metadata queries read: no review text."""
+    return td.interactions(spark, d, with_pics=True, with_name=with_name)
+
+
 REQ_SQL = f"""WITH {REC}
   SELECT row_id, split, business_id, user_id, rating, review_text, array_to_string(pics, '|') AS pics,
          CAST(len(history_reviews) AS INTEGER) AS history_reviews FROM rec"""
@@ -73,7 +78,7 @@ def q_flatten_records(spark, d):
   SELECT DISTINCT unnest(list_filter(pics, lambda p: p IS NOT NULL AND p <> '')) AS pic_id FROM rec""")
 def q_scan_jsonl(spark, d):
     """A second JSON lines table (picture catalogue), schema inferred."""
-    pics = _records(spark, d).select(F.explode(FT.clean_pic_ids("pics")).alias("pic_id")).distinct()
+    pics = _pics(spark, d).select(F.explode(FT.clean_pic_ids("pics")).alias("pic_id")).distinct()
     path = IG.sink_json(pics, IG.scratch_path(spark, "pictures_jsonl"))
     return IG.scan_jsonl(spark, path).select("pic_id")
 
@@ -89,14 +94,14 @@ def q_sink_parquet(spark, d):
 @register("scan_parquet", f"""WITH {REC} SELECT row_id, business_id, user_id, rating FROM rec WHERE split = 'val'""")
 def q_scan_parquet(spark, d):
     """Partition-pruned read: only the split=val folder is listed and scanned."""
-    path = IG.sink_parquet(_records(spark, d).select("row_id", "split", "business_id", "user_id", "rating"),
+    path = IG.sink_parquet(td.interactions(spark, d).select("row_id", "split", "business_id", "user_id", "rating"),
                            IG.scratch_path(spark, "splits_parquet"))
     return spark.read.parquet(path).filter(F.col("split") == "val").select("row_id", "business_id", "user_id", "rating")
 
 
 @register("union_splits", f"""WITH {REC} SELECT split, count(*) AS n_rows FROM rec GROUP BY split""")
 def q_union_splits(spark, d):
-    path = IG.sink_parquet(_records(spark, d).select("row_id", "split", "business_id"),
+    path = IG.sink_parquet(td.interactions(spark, d).select("row_id", "split", "business_id"),
                            IG.scratch_path(spark, "splits_parquet"))
     parts = [spark.read.parquet(f"{path}/split={s}").withColumn("split", F.lit(s)) for s in IG.SPLITS]
     out = parts[0]
@@ -184,12 +189,12 @@ MD_SQL = f"""WITH {REC}, {O.metadata_cte()}
 
 @register("first_metadata_per_item", MD_SQL)
 def q_first_metadata_per_item(spark, d):
-    return MD.first_metadata_per_item(_records(spark, d))
+    return MD.first_metadata_per_item(_pics(spark, d, with_name=True))
 
 
 @register("sink_metadata_json", MD_SQL)
 def q_sink_metadata_json(spark, d):
-    md = MD.first_metadata_per_item(_records(spark, d))
+    md = MD.first_metadata_per_item(_pics(spark, d, with_name=True))
     path = IG.sink_json(md, IG.scratch_path(spark, "item_metadata"))
     return IG.scan_metadata(spark, path)
 
@@ -197,7 +202,7 @@ def q_sink_metadata_json(spark, d):
 @register("scan_metadata", MD_SQL)
 def q_scan_metadata(spark, d):
     """Written metadata plus an absent file (-> empty), unioned."""
-    md = MD.first_metadata_per_item(_records(spark, d))
+    md = MD.first_metadata_per_item(_pics(spark, d, with_name=True))
     path = IG.sink_json(md, IG.scratch_path(spark, "item_metadata"))
     missing = IG.scan_metadata(spark, IG.scratch_path(spark, "absent"))
     return IG.scan_metadata(spark, path).unionByName(missing)
@@ -206,7 +211,7 @@ def q_scan_metadata(spark, d):
 @register("drop_missing_business", f"""WITH {REC}
   SELECT split, count(*) AS n_rows FROM rec WHERE business_id IS NOT NULL AND business_id <> '' GROUP BY split""")
 def q_drop_missing_business(spark, d):
-    return MD.drop_missing_business(_records(spark, d)).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    return MD.drop_missing_business(td.interactions(spark, d)).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("coalesce_metadata", f"""WITH {REC}
@@ -221,7 +226,7 @@ def q_coalesce_metadata(spark, d):
   SELECT row_id, CASE WHEN pics[1] IS NOT NULL AND pics[1] <> '' THEN '/media/images/' || pics[1] || '.jpg' END AS image_url
   FROM rec""")
 def q_image_url(spark, d):
-    return _records(spark, d).select("row_id", MD.image_url("pics").alias("image_url"))
+    return _pics(spark, d).select("row_id", MD.image_url("pics").alias("image_url"))
 
 
 PICS = f"""{REC},
@@ -235,12 +240,12 @@ PICS = f"""{REC},
 
 
 def _pictures(spark, d):
-    return _records(spark, d).select(F.explode(FT.clean_pic_ids("pics")).alias("pic_id")).distinct()
+    return _pics(spark, d).select(F.explode(FT.clean_pic_ids("pics")).alias("pic_id")).distinct()
 
 
 def _listing(spark, d):
     """files already present: the pictures of train records, with their size"""
-    r = _records(spark, d).filter(F.col("split") == "train")
+    r = _pics(spark, d).filter(F.col("split") == "train")
     return r.select(F.explode("pics").alias("pic_id")).distinct().withColumn("length", F.lit(64 * 4).cast("long"))
 
 

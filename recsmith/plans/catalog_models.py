@@ -15,24 +15,28 @@ from recsmith.plans import modeling as MO
 from recsmith.registry import register
 from recsmith.sources import testdata as td
 
-# epochs of the registered demonstration runs (the library default is 20)
-EPOCHS = 5
+# fixed value: epochs of every training run
+EPOCHS = 20
 
 
 # ---------------------------------------------------------------- encoders
 
 def _encoder(spark, d):
-    ix = td.interactions(spark, d, with_text=True)
-    enc = TE.fit_text_encoder(ix.filter(F.col("split") == "train"), "review_text")
-    return ix, enc
+    """Texts by key and the encoder: a text counts once per train row that has it."""
+    rows = td.interactions(spark, d, with_text_key=True).filter(F.col("split") == "train")
+    n = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"))
+    texts = td.text_source(spark, d)
+    return texts, TE.fit_text_encoder(texts.join(n, "text_key"), "review_text", weight="n")
 
 
 @register("text_embed")
 def q_text_embed(spark, d):
-    """Review vectors from the encoder fitted on train (dim, norm per row)."""
-    ix, enc = _encoder(spark, d)
-    e = enc.encode(ix, "review_text", "text_vec")
-    return e.select("row_id", "split", F.size("text_vec").alias("dim"), V.l2_norm("text_vec").alias("norm"))
+    """Review vectors from the encoder fitted on train (dim, norm per row): each
+    text is encoded once, and rows join the result on the text key."""
+    texts, enc = _encoder(spark, d)
+    e = enc.encode(texts, "review_text", "text_vec").select("text_key", F.size("text_vec").alias("dim"),
+                                                            V.l2_norm("text_vec").alias("norm"))
+    return td.interactions(spark, d, with_text_key=True).join(e, "text_key", "left").select("row_id", "split", "dim", "norm")
 
 
 @register("query_embed")
@@ -68,21 +72,21 @@ def _pictures_with_bytes(spark, d):
 
 @register("mf_fit")
 def q_mf_fit(spark, d):
-    _, cands = MF.fit_mf(td.interactions(spark, d), ranks=(16,), regs=(0.05, 0.5))
+    _, cands = MF.fit_mf(td.interactions(spark, d))
     return spark.createDataFrame(cands, "rank int, reg double, val_rmse double")
 
 
 @register("mf_predict")
 def q_mf_predict(spark, d):
     ix = td.interactions(spark, d)
-    m, _ = MF.fit_mf(ix, ranks=(16,), regs=(0.05, 0.5))
+    m, _ = MF.fit_mf(ix)
     return ST.rmse_mae(m.predict(ix), "pred", "rating", ["split"]).withColumn("model", F.lit("mf"))
 
 
 @register("mf_score")
 def q_mf_score(spark, d):
     ix = td.interactions(spark, d)
-    m, _ = MF.fit_mf(ix, ranks=(16,), regs=(0.05,))
+    m, _ = MF.fit_mf(ix)
     return m.predict(ix.filter(F.col("split").isin("val", "test"))).select("row_id", "split", "pred")
 
 
@@ -145,7 +149,7 @@ def q_late_fusion_score(spark, d):
 def _joint(spark, d):
     from recsmith.models import joint as JM
     ix = td.interactions(spark, d)
-    mf, _ = MF.fit_mf(ix, ranks=(16,), regs=(0.05,))
+    mf, _ = MF.fit_mf(ix)
     rows = _fusion_rows(spark, d)
     return JM.fit_joint(rows, mf, EPOCHS), rows
 
@@ -171,7 +175,7 @@ def q_joint_score_items(spark, d):
 def q_evaluate_learned_models(spark, d):
     """MF and text tower ranked per user on val/test: one scored table, one pass."""
     ix = td.interactions(spark, d)
-    mf, _ = MF.fit_mf(ix, ranks=(16,), regs=(0.05,))
+    mf, _ = MF.fit_mf(ix)
     rows = _rows(spark, d)
     dim = len(rows.select("text_emb").first()[0])
     tower, _ = MO.train_tower(rows, "text_emb", dim, EPOCHS)

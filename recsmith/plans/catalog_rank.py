@@ -69,7 +69,7 @@ ROW_COS = f"""{O.ix_cte(vec=True)}, {O.pool_cte()}, {O.stats_ctes()},
 def _row_cos(spark, d):
     ix = td.interactions(spark, d, with_vectors=True)
     pooled = FT.item_mean_pool(ix, ["text_emb"]).select("business_id", F.col("text_emb").alias("item_vec"))
-    mu, users, items = ST.train_stats(ix.select("split", "user_id", "business_id", "rating"))
+    mu, users, items = ST.train_stats(td.interactions(spark, d))
     j = ST.bias_prediction(ST.join_user_item_stats(ix, users, items), mu).join(pooled, "business_id", "left")
     return j.withColumn("cos", V.cosine_similarity("text_emb", "item_vec"))
 
@@ -97,9 +97,7 @@ def q_steered_score(spark, d):
 
 
 def _items_queries(spark, d):
-    ix = td.interactions(spark, d, with_vectors=True)
-    base, mu = R.item_base_scores(ix.select("split", "business_id", "user_id", "rating"))
-    items = R.item_table(ix, base, mu)
+    items, _ = R.items_testdata(spark, d)
     q = td.query_requests(spark, d).select("query_id", F.col("query_emb").alias("qvec"))
     return items, q
 
@@ -131,13 +129,8 @@ def q_topk_items(spark, d):
         FROM pairs JOIN q USING (query_id))
   SELECT query_id, CAST(rank AS INTEGER) AS rank, business_id, round(score, 6) AS score FROM r WHERE rank <= k""")
 def q_topk_per_query(spark, d):
-    ix = td.interactions(spark, d, with_vectors=True)
-    base, mu = R.item_base_scores(ix.select("split", "business_id", "user_id", "rating"))
-    items = R.item_table(ix, base, mu)
-    req = R.validate_requests(td.query_requests(spark, d))
-    q = req.select("query_id", F.col("query_emb").alias("qvec"), "w_joint", "w_text")
-    c = SIM.similarity_topk(items, q, R.MAX_K)
-    r = SIM.rank_candidates(c.join(req.select("query_id", "k"), "query_id"), "k", R.DEFAULT_K, R.MAX_K)
+    items, n = R.items_testdata(spark, d)
+    r = R.rank_requests(items, td.query_requests(spark, d), n, td.row_count(spark, d, "embeddings"))
     return r.select("query_id", F.col("rank").cast("int"), "business_id", "score")
 
 
@@ -199,9 +192,7 @@ def q_recommend_stream(spark, d):
     from recsmith.operators import metadata as MD
     from recsmith.sources import ingest as IG
     from recsmith.streaming import recommend_stream as RS
-    ix = td.interactions(spark, d, with_vectors=True)
-    base, mu = R.item_base_scores(ix.select("split", "business_id", "user_id", "rating"))
-    items = R.item_table(ix, base, mu)
+    items, _ = R.items_testdata(spark, d)
     md = MD.first_metadata_per_item(td.interactions(spark, d, with_pics=True, with_name=True))
     req_path = IG.scratch_path(spark, "requests")
     td.query_requests(spark, d).repartition(4, "query_id").write.json(req_path)

@@ -14,7 +14,7 @@ from recsmith.sources import testdata as td
 
 @register("clean_html_text", f"SELECT page_id, {O.clean_sql('html')} AS cleaned_text FROM pages")
 def q_clean_html_text(spark, d):
-    pages = td.spread(td.table(spark, d, "pages"), "page_id")
+    pages = td.table(spark, d, "pages")
     return pages.select("page_id", TX.clean_html_text("html").alias("cleaned_text"))
 
 
@@ -24,7 +24,7 @@ DOC_CLEAN = f"dc AS (SELECT doc_id, {O.clean_sql('text')} AS c FROM documents)"
 @register("word_count", f"""WITH {DOC_CLEAN}
   SELECT doc_id, CAST(CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END AS INTEGER) AS text_len_words FROM dc""")
 def q_word_count(spark, d):
-    docs = td.spread(td.table(spark, d, "documents"), "doc_id")
+    docs = td.table(spark, d, "documents")
     return docs.select("doc_id", TX.word_count(TX.clean_html_text("text")).alias("text_len_words"))
 
 
@@ -49,7 +49,7 @@ def q_list_length(spark, d):
   SELECT doc_id, round(sentiment, 6) AS sentiment FROM sent""")
 def q_lexicon_sentiment(spark, d):
     lex, neg, boost = FB.sentiment_params(spark)
-    docs = td.spread(td.table(spark, d, "documents"), "doc_id").select("doc_id", TX.clean_html_text("text").alias("c"))
+    docs = td.table(spark, d, "documents").select("doc_id", TX.clean_html_text("text").alias("c"))
     return TX.with_sentiment(docs, "c", "sentiment", lex, neg, boost).select("doc_id", "sentiment")
 
 

@@ -3,13 +3,13 @@ train statistics, dense vector, z-scoring fitted on train."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recsmith.functions import text as TX
 from recsmith.operators import features as FT
 from recsmith.operators import stats as ST
+from recsmith.session import stored
 from recsmith.sources import testdata as td
 
 
@@ -22,6 +22,8 @@ def text_features(df: DataFrame, spark: SparkSession, text_col: str = "review_te
     """text_len_words, sentiment (and cleaned_text): one Arrow pass over whole
     texts (see functions.text.with_text_features for the measured reason)."""
     lex, neg, boost = sentiment_params(spark)
+    if lex is None:
+        raise ValueError("the lexicon is too large to travel: use keyed_text_features, which joins it")
     return TX.with_text_features(df, text_col, lex, neg, boost, keep_cleaned)
 
 
@@ -31,12 +33,17 @@ def keyed_text_features(rows: DataFrame, texts: DataFrame, spark: SparkSession,
     """Text features for ``rows`` whose text is the ``texts`` row at ``key``.
 
     The features are a function of the text alone, so they are computed once
-    per text on the text table (whole texts, one Arrow pass, spread over the
-    cluster) and joined to the rows on the key: the join moves a few bytes per
+    per text on the text table (whole texts, one Arrow pass) and joined to the rows on the key: the join moves a few bytes per
     row instead of the text, and a text shared by many rows is processed once.
     A row whose key has no text gets the features of the empty text."""
-    src = td.spread(texts.select(key, text_col), key)
-    tf = text_features(src, spark, text_col, keep_cleaned).drop(text_col)
+    src, (lex, neg, boost) = texts.select(key, text_col), sentiment_params(spark)
+    if lex is None:
+        clean = src.select(key, TX.clean_html_text(text_col).alias("cleaned_text"))
+        clean = clean.withColumn("text_len_words", TX.word_count("cleaned_text"))
+        tf = TX.with_sentiment_join(clean, key, "cleaned_text", "sentiment", td.lexicon(spark), neg, boost)
+        tf = tf if keep_cleaned else tf.drop("cleaned_text")
+    else:
+        tf = TX.with_text_features(src, text_col, lex, neg, boost, keep_cleaned).drop(text_col)
     out = rows.join(tf, key, "left").drop(key)
     fill = {"text_len_words": F.lit(0), "sentiment": F.lit(0.0)}
     if keep_cleaned:
@@ -62,8 +69,8 @@ def dense_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zscored_dense(spark: SparkSession, sf_dir: str):
     """(rows with z-scored dense vector, fitted params)."""
-    # fit (one aggregate) and apply read the same rows: keep them once
-    raw = dense_table(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    # fit (one aggregate) and apply read the same narrow rows: written once to the shared folder
+    raw = stored(dense_table(spark, sf_dir), "dense-raw")
     params = ST.zscore_fit(raw.filter(F.col("split") == "train"), FT.FEATURE_ORDER)
     z = ST.zscore_apply(raw, params)
     z = FT.dense_vector(z, [c + "_z" for c in FT.FEATURE_ORDER], "dense")

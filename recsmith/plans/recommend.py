@@ -15,6 +15,7 @@ from recsmith.operators import features as FT
 from recsmith.operators import metadata as MD
 from recsmith.operators import similarity as SIM
 from recsmith.operators import stats as ST
+from recsmith.operators.topk import rank_within
 from recsmith.sources import testdata as td
 
 # fixed values: request defaults and bounds
@@ -55,13 +56,35 @@ def item_table(ix_vec: DataFrame, base: DataFrame, mu: float) -> DataFrame:
                     F.coalesce(F.col("base"), F.lit(mu)).alias("base")))
 
 
+def one_per_id(requests: DataFrame) -> DataFrame:
+    """One request per query_id: equal requests are answered once, and of
+    requests that share an id the first in the order of their fields counts."""
+    order = [F.col(c).asc() for c in ("query_text", "k", "w_joint", "w_text", "query_emb") if c in requests.columns]
+    return rank_within(requests, ["query_id"], order, 1, "_nth").drop("_nth")
+
+
+def rejected(requests: DataFrame) -> DataFrame:
+    """(query_id, reason) of the requests that get no ranking."""
+    bad = validate_requests(requests).filter(F.col("valid") != 1)
+    return bad.select("query_id", F.format_string(f"k=%d is not in {MIN_K}..{MAX_K}", "k").alias("reason"))
+
+
+def rank_requests(items: DataFrame, requests: DataFrame, n_items: int | None = None,
+                  n_queries: int | None = None) -> DataFrame:
+    """Ranked items of each valid request: ranked to MAX_K first (a constant
+    bound, so every map task sends at most MAX_K rows of a query), then each
+    request's own k is joined to the ranks."""
+    req = one_per_id(validate_requests(requests).filter(F.col("valid") == 1))
+    q = req.select("query_id", F.col("query_emb").alias("qvec"), "w_joint", "w_text")
+    cands = SIM.similarity_topk(items, q, MAX_K, n_items=n_items, n_queries=n_queries)
+    ranked = SIM.rank_candidates(cands, None, MAX_K, MAX_K)
+    return ranked.join(req.select("query_id", "k"), "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
+
+
 def recommend(items: DataFrame, requests: DataFrame, metadata: DataFrame,
               n_items: int | None = None, n_queries: int | None = None) -> DataFrame:
     """items(business_id, vec, base) x requests(query_id, k, weights, query_emb)."""
-    req = validate_requests(requests).filter(F.col("valid") == 1)
-    q = req.select("query_id", F.col("query_emb").alias("qvec"), "w_joint", "w_text")
-    cands = SIM.similarity_topk(items, q, MAX_K, n_items=n_items, n_queries=n_queries)
-    ranked = SIM.rank_candidates(cands.join(req.select("query_id", "k"), "query_id"), "k", DEFAULT_K, MAX_K)
+    ranked = rank_requests(items, requests, n_items, n_queries)
     md = metadata.select("business_id", "name", F.col("image_url").alias("representative_image_url"),
                          "avg_rating", "num_reviews")
     return ranked.join(md, "business_id", "left").select(
@@ -70,10 +93,17 @@ def recommend(items: DataFrame, requests: DataFrame, metadata: DataFrame,
         "avg_rating", "num_reviews")
 
 
+def items_testdata(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Item table and its size. Base scores come from the plain interactions, so
+    the statistics never touch the vectors."""
+    base, mu = item_base_scores(td.interactions(spark, sf_dir))
+    n = td.interactions(spark, sf_dir).select("business_id").filter("business_id is not null").distinct().count()
+    return item_table(td.interactions(spark, sf_dir, with_vectors=True), base, mu), n
+
+
 def recommend_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = td.interactions(spark, sf_dir, with_vectors=True)
-    base, mu = item_base_scores(ix.select("split", "business_id", "user_id", "rating"))
-    items = item_table(ix, base, mu)
+    items, n = items_testdata(spark, sf_dir)
     # metadata reads only the record fields it uses (no review text)
     md = MD.first_metadata_per_item(td.interactions(spark, sf_dir, with_pics=True, with_name=True))
-    return recommend(items, td.query_requests(spark, sf_dir), md)
+    requests = td.query_requests(spark, sf_dir)
+    return recommend(items, requests, md, n, td.row_count(spark, sf_dir, "embeddings"))

@@ -3,7 +3,6 @@ overlap, per request."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +42,6 @@ def query_steering(items: DataFrame, queries: DataFrame, k: int = 10, show: int
     a literal. The steered top-k (the blocked similarity product) is consumed
     by ONE aggregate that yields both the overlap and the top ids, so the
     product runs once; the per-query list holds at most ``show`` ids."""
-    # the item table feeds both the base list and the product: keep it once
-    items = items.persist(StorageLevel.MEMORY_AND_DISK)
     base = sorted((int(r["rank"]), r["business_id"]) for r in base_top(items, k).collect())   # k rows
     base_ids = [bid for _, bid in base]
     top_base = ",".join(base_ids[:show]) if base_ids else None

@@ -4,8 +4,12 @@ shared checkpoint folder a cluster names in ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -24,6 +28,9 @@ def build_session(app: str = "recsmith", cpus: int | str = "*", shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # small inputs still give every core a split
+        .config("spark.sql.files.maxPartitionBytes", "8m")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.driver.memory", os.environ.get("RECSMITH_DRIVER_MEMORY", "16g"))
     )
     for k, v in (extra or {}).items():
@@ -36,16 +43,43 @@ def build_session(app: str = "recsmith", cpus: int | str = "*", shuffle_partitio
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for ``checkpoint()`` / intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests) a folder under the session's warehouse dir is used and
-    registered, so lineage can still be cut with a reliable checkpoint.
+    Reads ``spark.checkpoint.dir`` from the session. Only a local session may
+    leave it unset (tests): a folder under its warehouse dir is used then. On a
+    cluster a missing setting is an error, since executors would not share it.
     """
     sc = spark.sparkContext
     d = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         wh = spark.conf.get("spark.sql.warehouse.dir")
         d = wh.rstrip("/") + "/_recsmith_checkpoints"
         spark.conf.set(CHECKPOINT_CONF, d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: read again by other jobs without
+    a cache that outlives them."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per session: a
+    zip of its sources, served by Spark. Nothing is sent if the package's folder
+    is on PYTHONPATH, which the launcher then gives to the workers."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if getattr(sc, "_recsmith_shipped", False) or root.parent in known:
+        return
+    out = Path(tempfile.mkdtemp(prefix="recsmith-ship-")) / "recsmith.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(out))
+    sc._recsmith_shipped = True

@@ -2,7 +2,7 @@
 is ranked against the static item table (stream-static, stateless).
 
   * the item table (vectors + base scores) and metadata are query independent:
-    built once, persisted, reused by every micro-batch
+    written once to the shared folder, read by every micro-batch
   * ``foreachBatch`` writes each batch to ``out/batch_id=<id>`` with overwrite,
     so a batch replayed after a failure replaces its own output (idempotent);
     duplicate request ids inside a batch are dropped
@@ -16,6 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from recsmith.plans import recommend as R
+from recsmith.session import stored
 
 REQUEST_SCHEMA = ("query_id long, query_text string, k int, weights map<string,double>, "
                   "query_emb array<float>")
@@ -23,8 +24,7 @@ REQUEST_SCHEMA = ("query_id long, query_text string, k int, weights map<string,d
 
 def start(spark: SparkSession, requests_path: str, out_path: str, checkpoint: str,
           items: DataFrame, metadata: DataFrame, files_per_trigger: int = 1, available_now: bool = True):
-    items = items.persist(StorageLevel.MEMORY_AND_DISK)
-    metadata = metadata.persist(StorageLevel.MEMORY_AND_DISK)
+    items, metadata = stored(items, "stream-items"), stored(metadata, "stream-metadata")
     n_items = items.count()
 
     def rank_batch(batch: DataFrame, batch_id: int) -> None:

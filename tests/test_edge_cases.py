@@ -25,9 +25,76 @@ def test_clean_html_whitespace_and_entities(spark):
     assert out[2] == "a b c d e"
     assert out[3] == "hi &©"
     assert out[4] == "mixed case"
-    # numeric / other named entities: only the full path decodes them
-    full = {r["id"]: r["c"] for r in df.select("id", TX.clean_html_text("t", unescape="full").alias("c")).collect()}
-    assert full[5] == "été"
+    assert out[5] == "été"
+
+
+# expected values written by hand, not taken from either engine
+MARKUP = [
+    ("caf&eacute; &#8217;s &hellip;", "café ’s …"), ("&#x41;&#66;&notin;", "ab∉"), ("a &amp;lt; b", "a &lt; b"), ("x &amp y &copy z", "x & y © z"),
+    ("<b title='x>y'>z", "z"), ('<a href="p>q" class=r>s</a>t', "s t"), ("5 < 6 and 7 > 3", "5 < 6 and 7 > 3"), ("<p title=it's>don't</p>", "don't"),
+    ("<script>if (a < b) {}</script>c<style>p>q{}</style>d", "c d"), ("<!-- <p> -->e<br/>f", "e f"), ("<a href='never closed", "<a href='never closed"),
+    ("&bogus; &", "&bogus; &"),
+]
+
+
+def test_markup_and_entities_on_both_text_paths(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(MARKUP)], "id int, t string")
+    want = {i: w for i, (_, w) in enumerate(MARKUP)}
+    assert {r["id"]: r["c"] for r in df.select("id", TX.clean_html_text("t").alias("c")).collect()} == want
+    one = TX.with_text_features(df, "t", {"x": 1.0}, [], {}, keep_cleaned=True)
+    assert {r["id"]: r["cleaned_text"] for r in one.collect()} == want
+
+
+def test_sentiment_by_join_equals_the_function(spark):
+    lex = {"good": 2.0, "bad": -2.0, "fine": 0.0}
+    texts = ["good", "not good", "very good bad", "", "good, bad!", "no x y good", "no x y z good", "very very bad", "(good)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, c string")
+    a = TX.with_sentiment(df, "c", "s", lex, ["not", "no"], {"very": 0.293})
+    table = spark.createDataFrame(list(lex.items()), "token string, valence double")
+    b = TX.with_sentiment_join(df, "id", "c", "s", table, ["not", "no"], {"very": 0.293})
+    x, y = ({r["id"]: r["s"] for r in d.collect()} for d in (a, b))
+    assert x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-12 for k in x)
+
+
+def _items(spark):
+    return spark.createDataFrame([("a", [1.0, 0.0], 3.0), ("b", [0.0, 1.0], 3.5), ("c", None, 4.0), ("d", [1.0, 0.0, 0.0], 1.0)],
+                                 "business_id string, vec array<float>, base double")
+
+
+def _requests(spark, rows):
+    return spark.createDataFrame(rows, "query_id long, query_text string, k int, weights map<string,double>, query_emb array<float>")
+
+
+def test_duplicate_requests_and_null_vectors(spark):
+    rows = [(1, "q", 2, None, [1.0, 0.0]), (1, "q", 2, None, [1.0, 0.0]), (2, "q", 4, None, None), (3, "q", 99, None, [0.0, 1.0]),
+            (4, "q", 1, None, [1.0])]
+    req = _requests(spark, rows)
+    got = {}
+    for r in R.rank_requests(_items(spark), req).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["business_id"], round(r["text_similarity"], 6)))
+    assert sorted(got[1]) == [(1, "a", 1.0), (2, "c", 0.0)]
+    assert sorted(got[2]) == [(1, "c", 0.0), (2, "b", 0.0), (3, "a", 0.0), (4, "d", 0.0)]
+    assert got[4] == [(1, "c", 0.0)] and 3 not in got
+    assert [(r["query_id"], r["reason"]) for r in R.rejected(req).collect()] == [(3, "k=99 is not in 1..50")]
+
+
+def test_merge_of_many_item_blocks(spark, monkeypatch):
+    from recsmith.operators import similarity as SIM
+    monkeypatch.setattr(SIM, "MERGE_FANOUT", 3)
+    items = spark.range(400).selectExpr("concat('i', id) AS business_id", "array(cast(id % 7 as float), 1f) AS vec", "cast(id % 50 as double) AS base")
+    q = spark.createDataFrame([(1, [1.0, 0.5], 1.0, 2.0), (2, [0.0, 1.0], 1.0, 0.0)], "query_id long, qvec array<float>, w_joint double, w_text double")
+    one = SIM.rank_candidates(SIM.similarity_topk(items, q, 9), None, 9, 9)
+    many = SIM.rank_candidates(SIM.similarity_topk(items, q, 9, items_per_block=20, scores_per_task=40), None, 9, 9)
+    key = lambda d: sorted((r["query_id"], r["rank"], r["business_id"]) for r in d.collect())
+    assert key(one) == key(many)
+
+
+def test_nothing_stays_cached(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    for k in ("topk_per_query", "query_steering", "zscore_apply"):
+        E.queries()[k](spark, SF_SMALL).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
 
 
 def test_word_count_empty_and_spaces(spark):

@@ -44,3 +44,18 @@ def test_scan_is_pruned(spark):
     df = td.interactions(spark, SF_SMALL).filter(F.col("split") == "val").select("row_id")
     p = plan(df)
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,props:string>" in p
+
+
+def test_ranking_limits_rows_before_the_shuffle(spark):
+    """A partial group limit stands below the exchange, and k is joined to the ranks."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items, n = R.items_testdata(spark, SF_SMALL)
+        p = plan(R.rank_requests(items, td.query_requests(spark, SF_SMALL), n, 10))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = p.splitlines()
+    final = next(i for i, x in enumerate(lines) if "WindowGroupLimit" in x and "Final" in x and "query_id" in x)
+    assert any("WindowGroupLimit" in x and "Partial" in x for x in lines[final:])
+    assert "InMemoryTableScan" not in p
