@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from recsmith.session import stored
 
 
-def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column, non_null, missing_pct) from one aggregate pass, unpivoted.
+def null_profile(df: DataFrame, cols: list[str] | None = None, by: list[str] = ()) -> DataFrame:
+    """(*by, column, non_null, missing_pct) from one aggregate pass, unpivoted.
     missing_pct = 100 * nulls / rows, 2 decimals, half-even."""
-    cols = cols or df.columns
+    cols = cols or [c for c in df.columns if c not in by]
     row = [F.count(F.lit(1)).alias("_n")] + [F.count(F.col(c)).alias(c) for c in cols]
-    agg = df.agg(*row)
-    stacked = agg.select("_n", F.explode(F.array(*[
+    agg = df.groupBy(*by).agg(*row)
+    stacked = agg.select(*by, "_n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("non_null")) for c in cols])).alias("s"))
     return stacked.select(
-        "s.column", "s.non_null",
+        *by, "s.column", "s.non_null",
         F.bround(F.when(F.col("_n") > 0, (F.col("_n") - F.col("s.non_null")) * 100.0 / F.col("_n"))
                  .otherwise(F.lit(0.0)), 2).alias("missing_pct"))
 
@@ -67,6 +67,38 @@ def describe_numeric(df: DataFrame, col: str) -> DataFrame:
                                  "column string, stat string, value double")
 
 
+def describe_by(df: DataFrame, cols: list[str], by: list[str], qs=(0.25, 0.5, 0.75)) -> DataFrame:
+    """describe() of several columns per group, as (*by, column, stat, value).
+
+    All columns go through one aggregate of value counts; the counts are ranged
+    over partitions by group and value, ranks are running sums inside a partition
+    plus the sums of the partitions before it (one row per group and partition),
+    and only the values at the wanted ranks are read for the quantiles."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*by, "column"]
+    long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])))
+    long = long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    base = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+                                   F.min("v").alias("min"), F.max("v").alias("max"))
+    counts = stored(long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")).repartitionByRange(parts, *keys, "v")
+                    .withColumn("pid", F.spark_partition_id()), "value-counts")
+    sizes = counts.groupBy(*keys, "pid").agg(F.sum("c").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "pid").orderBy("v")) + F.col("before")
+    ranked = (counts.join(sizes.select(*keys, "pid", before.alias("before")), [*keys, "pid"])
+              .select(*keys, "v", "c", upto.alias("upto")).join(base.select(*keys, "n"), keys))
+    want = F.array(*[F.struct(F.lit(f"{round(100 * q)}%").alias("stat"), (q * (F.col("n") - 1)).alias("h")) for q in qs])
+    near = ranked.select(*keys, "v", "c", "upto", F.inline(want))
+    held = lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c"))
+    near = near.select(*keys, "stat", "v", "h", held(F.floor("h")).alias("lo"), held(F.ceil("h")).alias("hi")).filter("lo or hi")
+    lo, hi = F.max(F.when(F.col("lo"), F.col("v"))), F.max(F.when(F.col("hi"), F.col("v")))
+    quant = near.groupBy(*keys, "stat").agg(lo.alias("lo"), hi.alias("hi"), F.max(F.col("h") - F.floor("h")).alias("f")).select(
+        *keys, "stat", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")).alias("value"))
+    plain = base.select(*keys, F.inline(F.array(*[F.struct(F.lit(k if k != "n" else "count").alias("stat"), F.col(k).cast("double").alias("value"))
+                                                  for k in ("n", "mean", "std", "min", "max")])))
+    return plain.unionByName(quant)
+
+
 def value_counts(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
     """counts per value (nulls dropped), sorted by value."""
     return (df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))

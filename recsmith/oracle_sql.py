@@ -43,6 +43,22 @@ def records_cte(name: str = "rec") -> str:
     return ix_cte(name, text=True, pics=True, hist=True, pname=True)
 
 
+def flawed_cte(name: str = "rec") -> str:
+    """The raw feed with its flaws (FIXTURES.md)."""
+    return ix_cte("clean", text=True, pics=True, pname=True) + f""", {name} AS (
+      SELECT row_id, split,
+             CASE WHEN row_id % 101 = 7 THEN '' WHEN row_id % 97 = 5 THEN NULL ELSE business_id END AS business_id,
+             CASE WHEN row_id % 113 = 11 THEN '' WHEN row_id % 89 = 3 THEN NULL ELSE user_id END AS user_id,
+             CASE WHEN row_id % 79 = 2 THEN 9 WHEN row_id % 83 = 1 THEN NULL ELSE rating END AS rating,
+             CASE WHEN row_id % 83 = 1 THEN '' WHEN row_id % 71 = 4 THEN NULL ELSE review_text END AS review_text,
+             CASE WHEN row_id % 61 = 6 THEN list_append(pics, '') ELSE pics END AS pics,
+             CASE WHEN row_id % 67 = 9 THEN list_append(list_transform(range(1, row_id % 3 + 2), lambda i: 'visit ' || i), '')
+                  WHEN row_id % 5 = 0 THEN list_transform(range(1, row_id % 3 + 2), lambda i: 'visit ' || i)
+                  ELSE CAST([] AS VARCHAR[]) END AS history_reviews,
+             CASE WHEN row_id % 59 = 8 THEN NULL ELSE name END AS name
+      FROM clean)"""
+
+
 def ratings_large_cte(name: str = "rl") -> str:
     return f"""{name} AS (
       SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate, l.l_extendedprice,

@@ -115,7 +115,7 @@ def q_qa_report(spark, d):
     return IG.qa_report(IG.project_required(_records(spark, d)))
 
 
-@register("contract_violations", f"""WITH {REC},
+@register("contract_violations", f"""WITH {O.flawed_cte()},
   v AS (SELECT split,
       CAST(sum(CASE WHEN business_id IS NULL OR business_id = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty_business_id,
       CAST(sum(CASE WHEN user_id IS NULL OR user_id = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty_user_id,
@@ -127,7 +127,21 @@ def q_qa_report(spark, d):
   SELECT split, rule, violations FROM v UNPIVOT (violations FOR rule IN
     (empty_business_id, empty_user_id, rating_out_of_range, empty_text_without_rating, bad_pic_id, bad_history_entry))""")
 def q_contract_violations(spark, d):
-    return IG.contract_violations(_records(spark, d))
+    return IG.contract_violations(td.flawed_records(spark, d))
+
+
+@register("quarantine_records", f"""WITH {O.flawed_cte()}
+  SELECT row_id, split, array_to_string(list_filter([
+      CASE WHEN coalesce(business_id, '') = '' THEN 'empty_business_id' END, CASE WHEN coalesce(user_id, '') = '' THEN 'empty_user_id' END,
+      CASE WHEN rating IS NULL OR NOT (rating BETWEEN 1 AND 5) THEN 'rating_out_of_range' END,
+      CASE WHEN coalesce(review_text, '') = '' AND rating IS NULL THEN 'empty_text_without_rating' END,
+      CASE WHEN list_contains(pics, '') THEN 'bad_pic_id' END, CASE WHEN list_contains(history_reviews, '') THEN 'bad_history_entry' END],
+      lambda x: x IS NOT NULL), ',') AS reasons
+  FROM rec WHERE reasons <> ''""")
+def q_quarantine_records(spark, d):
+    """The rows that break a contract rule, with the rules they break."""
+    _, bad = IG.quarantine(td.flawed_records(spark, d))
+    return bad.select("row_id", "split", F.array_join("reasons", ",").alias("reasons"))
 
 
 @register("provenance_manifest", f"""WITH {REC}
@@ -208,10 +222,10 @@ def q_scan_metadata(spark, d):
     return IG.scan_metadata(spark, path).unionByName(missing)
 
 
-@register("drop_missing_business", f"""WITH {REC}
+@register("drop_missing_business", f"""WITH {O.flawed_cte()}
   SELECT split, count(*) AS n_rows FROM rec WHERE business_id IS NOT NULL AND business_id <> '' GROUP BY split""")
 def q_drop_missing_business(spark, d):
-    return MD.drop_missing_business(td.interactions(spark, d)).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    return MD.drop_missing_business(td.flawed_records(spark, d)).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("coalesce_metadata", f"""WITH {REC}

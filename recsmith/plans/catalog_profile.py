@@ -25,21 +25,33 @@ def q_table_shape(spark, d):
     return P.table_shape(r).withColumn("n_cols", F.col("n_cols").cast("int"))
 
 
-@register("null_profile", f"""WITH {REC}, n AS (SELECT count(*) AS n FROM rec)
-  SELECT c AS column, nn AS non_null, round_even(CASE WHEN n > 0 THEN (n - nn) * 100.0 / n ELSE 0.0 END, 2) AS missing_pct
-  FROM (SELECT * FROM (SELECT {', '.join(f'count({c}) AS {c}' for c in REC_COLS)} FROM rec)
-        UNPIVOT (nn FOR c IN ({', '.join(REC_COLS)}))), n""")
+NULL_COLS = [c for c in REC_COLS if c != "split"]
+
+
+@register("null_profile", f"""WITH {O.flawed_cte()}
+  SELECT split, c AS column, nn AS non_null, round_even(CASE WHEN n > 0 THEN (n - nn) * 100.0 / n ELSE 0.0 END, 2) AS missing_pct
+  FROM (SELECT * FROM (SELECT split, count(*) AS n, {', '.join(f'count({c}) AS {c}' for c in NULL_COLS)} FROM rec GROUP BY split)
+        UNPIVOT (nn FOR c IN ({', '.join(NULL_COLS)})))""")
 def q_null_profile(spark, d):
-    return P.null_profile(td.raw_records(spark, d).select(*REC_COLS))
+    return P.null_profile(td.flawed_records(spark, d).select(*REC_COLS), by=["split"])
 
 
-@register("describe_numeric", f"""WITH {REC}, v AS (SELECT CAST(rating AS DOUBLE) AS x FROM rec WHERE rating IS NOT NULL)
-  SELECT 'rating' AS column, stat, round(value, 6) AS value FROM (
-    SELECT count(x)::DOUBLE AS "count", avg(x) AS mean, stddev_samp(x) AS std, min(x) AS "min",
+DESCRIBED = {"rating": "CAST(rating AS DOUBLE)", "text_length": "CAST(length(coalesce(review_text, '')) AS DOUBLE)",
+             "n_pics": "CAST(len(pics) AS DOUBLE)", "history_length": "CAST(len(history_reviews) AS DOUBLE)"}
+
+
+@register("describe_numeric", f"""WITH {O.flawed_cte()}, v AS ({' UNION ALL '.join(
+      f'SELECT split, \'{k}\' AS "column", {e} AS x FROM rec' for k, e in DESCRIBED.items())})
+  SELECT split, "column", stat, round(value, 6) AS value FROM (
+    SELECT split, "column", count(x)::DOUBLE AS "count", avg(x) AS mean, stddev_samp(x) AS std, min(x) AS "min",
            quantile_cont(x, 0.25) AS "25%", quantile_cont(x, 0.5) AS "50%", quantile_cont(x, 0.75) AS "75%",
-           max(x) AS "max" FROM v) UNPIVOT (value FOR stat IN ("count", mean, std, "min", "25%", "50%", "75%", "max"))""")
+           max(x) AS "max" FROM v GROUP BY split, "column") UNPIVOT (value FOR stat IN ("count", mean, std, "min", "25%", "50%", "75%", "max"))""")
 def q_describe_numeric(spark, d):
-    return P.describe_numeric(td.interactions(spark, d), "rating")
+    """Every numeric column and length of the raw feed, per split."""
+    r = td.flawed_records(spark, d).select(
+        "split", "rating", F.length(F.coalesce("review_text", F.lit(""))).alias("text_length"),
+        F.size("pics").alias("n_pics"), F.size("history_reviews").alias("history_length"))
+    return P.describe_by(r, list(DESCRIBED), ["split"])
 
 
 @register("describe_text_length", f"""WITH v AS (SELECT CAST(length(coalesce(text, '')) AS DOUBLE) AS x FROM documents)

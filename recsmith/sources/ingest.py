@@ -103,13 +103,10 @@ def qa_report(df: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
             .withColumn("columns_ok", F.lit(int(ok))))
 
 
-def contract_violations(df: DataFrame) -> DataFrame:
-    """One count per contract rule and split, from a single aggregate pass.
-
-    ids non-empty; rating in 1..5; text empty only if a rating exists;
-    list elements non-empty strings."""
+def contract_rules() -> dict[str, F.Column]:
+    """Conditions under which a record breaks the contract, by rule."""
     bad_list = lambda c: F.coalesce(F.exists(c, lambda p: p.isNull() | (p == "")), F.lit(False))
-    rules = {
+    return {
         "empty_business_id": F.col("business_id").isNull() | (F.col("business_id") == ""),
         "empty_user_id": F.col("user_id").isNull() | (F.col("user_id") == ""),
         "rating_out_of_range": F.col("rating").isNull() | ~F.col("rating").between(1, 5),
@@ -117,6 +114,14 @@ def contract_violations(df: DataFrame) -> DataFrame:
         "bad_pic_id": bad_list("pics"),
         "bad_history_entry": bad_list("history_reviews"),
     }
+
+
+def contract_violations(df: DataFrame) -> DataFrame:
+    """One count per contract rule and split, from a single aggregate pass.
+
+    ids non-empty; rating in 1..5; text empty only if a rating exists;
+    list elements non-empty strings."""
+    rules = contract_rules()
     agg = df.groupBy("split").agg(*[F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(k) for k, cond in rules.items()])
     return agg.select("split", F.explode(F.array(*[
         F.struct(F.lit(k).alias("rule"), F.col(k).alias("violations")) for k in rules])).alias("x")).select(
@@ -124,10 +129,10 @@ def contract_violations(df: DataFrame) -> DataFrame:
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, violating rows) by the contract rules."""
-    cond = ((F.col("business_id").isNull()) | (F.col("business_id") == "") | F.col("user_id").isNull()
-            | (F.col("user_id") == "") | F.col("rating").isNull() | ~F.col("rating").between(1, 5))
-    return df.filter(~cond), df.filter(cond)
+    """(valid rows, violating rows with the ``reasons`` they break), by all contract rules."""
+    why = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(k)) for k, cond in contract_rules().items()])
+    marked = df.withColumn("reasons", F.filter(why, lambda x: x.isNotNull()))
+    return marked.filter(F.size("reasons") == 0).drop("reasons"), marked.filter(F.size("reasons") > 0)
 
 
 def provenance_manifest(df: DataFrame, n_pictures: int | None = None, seed: int = 42,

@@ -120,6 +120,31 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions(spark, sf_dir, with_text=True, with_pics=True, with_history=True, with_name=True)
 
 
+# fixed values: flaws of the raw feed by row_id: (column, modulus, remainder, value)
+FLAWS = [
+    ("business_id", 97, 5, None), ("business_id", 101, 7, ""), ("user_id", 89, 3, None), ("user_id", 113, 11, ""),
+    ("rating", 83, 1, None), ("rating", 79, 2, 9), ("review_text", 71, 4, None), ("review_text", 83, 1, ""), ("name", 59, 8, None),
+]
+
+
+def flawed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full records as a careless feed sends them: ids missing or empty, ratings
+    missing or out of range, texts missing, an empty id among the pictures, and a
+    history whose entries may be empty. The rules are in FIXTURES.md."""
+    df = interactions(spark, sf_dir, with_text=True, with_pics=True, with_name=True)
+    row = F.col("row_id")
+    cols = {}
+    for column, mod, rem, value in FLAWS:
+        kind = "int" if column == "rating" else "string"
+        cols[column] = F.when(row % mod == rem, F.lit(value).cast(kind)).otherwise(cols.get(column, F.col(column)))
+    empty = F.array(F.lit(""))
+    cols["pics"] = F.when(row % 61 == 6, F.concat("pics", empty)).otherwise(F.col("pics"))
+    past = F.transform(F.sequence(F.lit(1), (row % 3 + 1).cast("int")), lambda i: F.concat(F.lit("visit "), i.cast("string")))
+    cols["history_reviews"] = (F.when(row % 67 == 9, F.concat(past, empty)).when(row % 5 == 0, past)
+                               .otherwise(F.array().cast("array<string>")))
+    return df.withColumns(cols)
+
+
 def ratings_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem join orders as a large ratings table with the unique row key."""
     li = table(spark, sf_dir, "lineitem").select(
