@@ -13,6 +13,7 @@ from recsmith.operators import stats as ST
 from recsmith.plans import evaluation as EV
 from recsmith.plans import modeling as MO
 from recsmith.registry import register
+from recsmith.session import stored
 from recsmith.sources import testdata as td
 
 # fixed value: epochs of every training run
@@ -109,7 +110,7 @@ def q_training_curve(spark, d):
     rows = _rows(spark, d)
     dim = len(rows.select("img_emb").first()[0])
     _, curve = MO.train_tower(rows, "img_emb", dim, EPOCHS)
-    return MO.curve_frame(spark, curve, "img_tower")
+    return MO.curve_frame(spark, curve, "img_tower")       # with the epoch whose weights are kept
 
 
 @register("tower_score")
@@ -173,17 +174,21 @@ def q_joint_score_items(spark, d):
 
 @register("evaluate_learned_models")
 def q_evaluate_learned_models(spark, d):
-    """MF and text tower ranked per user on val/test: one scored table, one pass."""
+    """Factorization, text, image and dense towers and late fusion, ranked per
+    user on val/test: features are written once, every model scores the same
+    rows, and one pass over the long table evaluates all of them."""
     ix = td.interactions(spark, d)
     mf, _ = MF.fit_mf(ix)
-    rows = _rows(spark, d)
-    dim = len(rows.select("text_emb").first()[0])
-    tower, _ = MO.train_tower(rows, "text_emb", dim, EPOCHS)
-    a = mf.predict(ix).select("row_id", "split", "user_id", "rating", F.col("pred").alias("score"),
-                              F.lit("mf").alias("model"))
-    b = tower.score(rows, "text_emb", "score").select("row_id", "split", "user_id", "rating", "score",
-                                                     F.lit("text_tower").alias("model"))
-    return EV.evaluate(a.unionByName(b), by=["model", "split"])
+    scored = [mf.predict(ix).select("row_id", "split", "user_id", "rating", F.col("pred").alias("score"), F.lit("mf").alias("model"))]
+    rows = stored(_fusion_rows(spark, d).select("row_id", "split", "user_id", "rating", "text_emb", "img_emb", "dense", "x"), "model-rows")
+    for name, col in (("text_tower", "text_emb"), ("img_tower", "img_emb"), ("dense_tower", "dense"), ("late_fusion", "x")):
+        tower, _ = MO.train_tower(rows, col, len(rows.select(col).first()[0]), EPOCHS)
+        scored.append(tower.score(rows.select("row_id", "split", "user_id", "rating", col), col, "score")
+                      .select("row_id", "split", "user_id", "rating", "score", F.lit(name).alias("model")))
+    out = scored[0]
+    for s in scored[1:]:
+        out = out.unionByName(s)
+    return EV.evaluate(out, by=["model", "split"])
 
 
 @register("pca_2d")

@@ -42,9 +42,11 @@ def train_tower(rows: DataFrame, features: str, in_dim: int, epochs: int, seed:
 
 
 def curve_frame(spark: SparkSession, curve: list[tuple], model: str) -> DataFrame:
-    """per-epoch metrics (at most ``epochs`` driver rows)"""
-    return spark.createDataFrame([(model, e, float(l), float(v)) for e, l, v in curve],
-                                 "model string, epoch int, train_loss double, val_rmse double")
+    """Per-epoch metrics (at most ``epochs`` driver rows); is_best marks the
+    epoch with the least validation RMSE, the first of equals."""
+    best = min(curve, key=lambda c: (c[2] if c[2] == c[2] else float("inf"), c[0]))[0] if curve else None
+    return spark.createDataFrame([(model, e, float(l), float(v), int(e == best)) for e, l, v in curve],
+                                 "model string, epoch int, train_loss double, val_rmse double, is_best int")
 
 
 def item_features(rows: DataFrame) -> DataFrame:
