@@ -36,7 +36,7 @@ def keyed_text_features(rows: DataFrame, texts: DataFrame, spark: SparkSession,
     per text on the text table (whole texts, one Arrow pass) and joined to the rows on the key: the join moves a few bytes per
     row instead of the text, and a text shared by many rows is processed once.
     A row whose key has no text gets the features of the empty text."""
-    src, (lex, neg, boost) = texts.select(key, text_col), sentiment_params(spark)
+    src, (lex, neg, boost) = td.spread(texts.select(key, text_col), key), sentiment_params(spark)
     if lex is None:
         clean = src.select(key, TX.clean_html_text(text_col).alias("cleaned_text"))
         clean = clean.withColumn("text_len_words", TX.word_count("cleaned_text"))

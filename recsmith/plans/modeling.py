@@ -11,7 +11,7 @@ from recsmith.operators import features as FT
 from recsmith.plans import features_build as FB
 from recsmith.sources import testdata as td
 
-# fixed values: model sizes and training settings (per the reference configs)
+# fixed values: model sizes and training settings
 TOWER_HIDDEN = (256, 64)
 JOINT_HIDDEN = (512, 256)
 LR = 1e-3

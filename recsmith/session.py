@@ -28,9 +28,6 @@ def build_session(app: str = "recsmith", cpus: int | str = "*", shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
-        # small inputs still give every core a split
-        .config("spark.sql.files.maxPartitionBytes", "8m")
-        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.driver.memory", os.environ.get("RECSMITH_DRIVER_MEMORY", "16g"))
     )
     for k, v in (extra or {}).items():

@@ -45,6 +45,14 @@ def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
     return table(spark, sf_dir, name).count()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that is a single split (so one split's bytes at most), dealt out
+    to all cores by ``key``; a table of several splits as it is."""
+    if df.rdd.getNumPartitions() > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _rating_expr(value) -> F.Column:
     r1, r2, r3, r4 = RATING_UPPER
     return (F.when(value < r1, 1).when(value < r2, 2).when(value < r3, 3)
@@ -74,7 +82,7 @@ def interactions(spark: SparkSession, sf_dir: str, with_text: bool = False,
     need text or vectors never touch those tables. ``with_text_key`` adds the
     key of the row's review in ``text_source`` (no join).
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "props")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "value", "props"), "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     df = ev.select(
         F.col("event_id").alias("row_id"),
@@ -147,8 +155,8 @@ def flawed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratings_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem join orders as a large ratings table with the unique row key."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"), "l_orderkey")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
     return j.select(
