@@ -88,8 +88,11 @@ def vector_mean(col: str, alias: str | None = None):
     return vector_to_array(Summarizer.mean(array_to_vector(F.col(col)))).alias(alias or col)
 
 
-def item_mean_pool(df: DataFrame, vector_cols: list[str], key: str = "business_id") -> DataFrame:
-    """Per item: mean of each vector column over all its rows, plus n_rows."""
+def item_mean_pool(df: DataFrame, vector_cols: list[str], key: str = "business_id",
+                   splits: list[str] | None = None) -> DataFrame:
+    """Per item: mean of each vector column over its rows (of ``splits``, by
+    default of all), plus n_rows."""
+    df = df if splits is None else df.filter(F.col("split").isin(list(splits)))
     aggs = [vector_mean(c) for c in vector_cols] + [F.count(F.lit(1)).alias("n_rows")]
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 

@@ -12,6 +12,7 @@ from recsmith.operators import features as FT
 from recsmith.operators import metadata as MD
 from recsmith.operators import pictures as PC
 from recsmith.plans import evaluation as EV
+from recsmith.plans.catalog_features import IMG_POOL_SQL
 from recsmith.registry import register
 from recsmith.sources import ingest as IG
 from recsmith.sources import testdata as td
@@ -177,13 +178,26 @@ def q_scan_vectors(spark, d):
     return j.select("row_id", "split", "rating", F.size("text_emb").alias("dim"))
 
 
-@register("scan_item_cache", f"""WITH {O.ix_cte(vec=True)}, {O.pool_cte()}
-  SELECT business_id, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS value FROM pool""")
+@register("scan_item_cache", f"""{IMG_POOL_SQL}, {O.ix_cte(vec=True)}, {O.pool_cte()},
+  per AS (SELECT business_id, split, count(*) AS n FROM ix WHERE business_id IS NOT NULL GROUP BY 1, 2),
+  tot AS (SELECT business_id, sum(n) AS t FROM per GROUP BY 1),
+  img AS (SELECT m.business_id, m.pos, sum(CAST(CAST(m.v / mn.n AS FLOAT) AS DOUBLE) * per.n) AS s
+          FROM m JOIN mn USING (business_id, split) JOIN per USING (business_id, split) GROUP BY 1, 2)
+  SELECT business_id, 'text_emb' AS kind, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS value FROM pool
+  UNION ALL
+  SELECT tot.business_id, 'img_emb', CAST(p.pos AS INTEGER), round(CAST(CAST(coalesce(img.s, 0.0) / tot.t AS FLOAT) AS DOUBLE), 6)
+  FROM tot CROSS JOIN (SELECT DISTINCT pos FROM m) p LEFT JOIN img ON img.business_id = tot.business_id AND img.pos = p.pos""")
 def q_scan_item_cache(spark, d):
-    pooled = FT.item_mean_pool(td.interactions(spark, d, with_vectors=True), ["text_emb"])
-    cache = pooled.select("business_id", F.col("text_emb").cast("array<float>").alias("text_emb"), "n_rows")
-    path = IG.sink_parquet(cache, IG.scratch_path(spark, "item_cache"), partition_by=[])
-    return IG.vectors_long(spark.read.parquet(path), ["business_id"], "text_emb")
+    """Item cache of pooled text and picture vectors, written and read back."""
+    ix = td.interactions(spark, d, with_vectors=True)
+    pooled = FT.image_pool(FT.manifest_pictures(_pics(spark, d)), td.picture_vectors(spark, d))
+    dim = len(td.picture_vectors(spark, d).select("img_vec").first()[0])
+    items = FT.item_mean_pool(FT.join_item_images(ix, pooled, dim), ["text_emb", "img_emb"])
+    kinds = ("text_emb", "img_emb")
+    cache = items.select("business_id", *[F.col(k).cast("array<float>").alias(k) for k in kinds], "n_rows")
+    back = spark.read.parquet(IG.sink_parquet(cache, IG.scratch_path(spark, "item_cache"), partition_by=[]))
+    parts = [IG.vectors_long(back, ["business_id"], k).withColumn("kind", F.lit(k)) for k in kinds]
+    return parts[0].unionByName(parts[1])
 
 
 @register("sink_metrics_csv", f"""WITH {O.ix_cte()}, {O.stats_ctes()},

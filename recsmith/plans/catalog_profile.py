@@ -112,29 +112,33 @@ def q_preview_table(spark, d):
 
 @register("alignment_report", f"""WITH {O.ix_cte(vec=True)}, {O.ix_cte('pr', pics=True)},
   m AS (SELECT business_id, split, sum(len(pics)) AS pc FROM pr GROUP BY 1, 2),
-  j AS (SELECT ix.*, CASE WHEN coalesce(m.pc, 0) > 0 THEN 1 ELSE 0 END AS has_image FROM ix LEFT JOIN m USING (business_id, split)),
+  j AS (SELECT ix.*, coalesce(m.pc, 0) AS pic_count, CASE WHEN coalesce(m.pc, 0) > 0 THEN 1 ELSE 0 END AS has_image FROM ix LEFT JOIN m USING (business_id, split)),
   r AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS rid, * EXCLUDE (split) FROM j)
-  SELECT split, count(*) AS n_index, count(text_emb) AS n_text, CAST(min(rid) AS BIGINT) AS min_row_id,
+  SELECT split, count(*) AS n_index, count(text_emb) AS n_text, CAST(sum(has_image) AS BIGINT) AS n_with_image, CAST(min(rid) AS BIGINT) AS min_row_id,
          CAST(max(rid) AS BIGINT) AS max_row_id, count(DISTINCT rid) AS n_distinct_row_id,
          CAST(min(rid) = 0 AND max(rid) = count(*) - 1 AND count(DISTINCT rid) = count(*) AS INTEGER) AS row_id_ok,
          CAST(sum(CASE WHEN list_bool_or(list_transform(text_emb, lambda x: isnan(x))) THEN 1 ELSE 0 END) AS BIGINT) AS nan_rows,
-         round(avg(has_image) * 100, 6) AS pct_with_image
+         round(avg(has_image) * 100, 6) AS pct_with_image, round(avg(pic_count), 6) AS pic_count_mean,
+         CAST(max(pic_count) AS BIGINT) AS pic_count_max
   FROM r GROUP BY split""")
 def q_alignment_report(spark, d):
     from recsmith.operators.sequence import row_id_assign
     ix = td.interactions(spark, d, with_vectors=True)
     m = FT.image_manifest(td.interactions(spark, d, with_pics=True))
     j = FT.join_image_counts(ix, m)
+    # what the report needs of a vector is two flags: the rows that are sorted and numbered stay narrow
+    j = j.select("split", F.col("row_id").alias("src_row"), F.col("text_emb").isNotNull().cast("int").alias("has_text"),
+                 F.coalesce(P.has_nan("text_emb"), F.lit(False)).cast("int").alias("nan_text"), "has_image", "pic_count")
     # per-split contiguous ids, as the row-aligned matrices use
-    j = row_id_assign(j.withColumnRenamed("row_id", "src_row"), ["src_row"], ["split"])
+    j = row_id_assign(j, ["src_row"], ["split"])
+    n = F.count(F.lit(1))
     return j.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n_index"), F.count("text_emb").alias("n_text"),
+        n.alias("n_index"), F.sum("has_text").cast("long").alias("n_text"), F.sum("has_image").cast("long").alias("n_with_image"),
         F.min("row_id").alias("min_row_id"), F.max("row_id").alias("max_row_id"),
         F.countDistinct("row_id").alias("n_distinct_row_id"),
-        ((F.min("row_id") == 0) & (F.max("row_id") == F.count(F.lit(1)) - 1)
-         & (F.countDistinct("row_id") == F.count(F.lit(1)))).cast("int").alias("row_id_ok"),
-        F.sum(F.when(P.has_nan("text_emb"), 1).otherwise(0)).cast("long").alias("nan_rows"),
-        (F.avg("has_image") * 100).alias("pct_with_image"))
+        ((F.min("row_id") == 0) & (F.max("row_id") == n - 1) & (F.countDistinct("row_id") == n)).cast("int").alias("row_id_ok"),
+        F.sum("nan_text").cast("long").alias("nan_rows"), (F.avg("has_image") * 100).alias("pct_with_image"),
+        F.avg("pic_count").alias("pic_count_mean"), F.max("pic_count").cast("long").alias("pic_count_max"))
 
 
 @register("row_id_assign", f"""WITH {IX}
