@@ -255,20 +255,37 @@ def q_align_by_row(spark, d):
     return FT.align_by_row(idx, vec).select("row_id", "split", F.size("text_emb").alias("text_dim"), "rating")
 
 
-@register("concat_modalities", f"""WITH {O.ix_cte(vec=True)}
-  SELECT row_id, CAST(len(text_emb) + len(text_emb) + 8 AS INTEGER) AS dim,
-         round(2 * list_sum(list_transform(text_emb, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM ix""")
+MODAL_SQL = f"""{IMG_POOL_SQL}, {O.ix_cte(vec=True)},
+  pooled AS (SELECT m.business_id, m.split, sum(CAST(CAST(m.v / mn.n AS FLOAT) AS DOUBLE)) AS s
+             FROM m JOIN mn USING (business_id, split) GROUP BY 1, 2),
+  md AS (SELECT ix.row_id, CAST(len(ix.text_emb) + (SELECT max(pos) FROM m) AS INTEGER) AS dim,
+                list_sum(list_transform(ix.text_emb, lambda x: CAST(x AS DOUBLE))) AS t, coalesce(p.s, 0.0) AS i
+         FROM ix LEFT JOIN pooled p USING (business_id, split))"""
+
+
+def _modalities(spark, d):
+    """Rows with their review vector and the pooled pictures of their business."""
+    pictures = td.picture_vectors(spark, d)
+    pooled = FT.image_pool(FT.manifest_pictures(td.interactions(spark, d, with_pics=True)), pictures)
+    return FT.join_item_images(_ix(spark, d, with_vectors=True), pooled, len(pictures.select("img_vec").first()[0]))
+
+
+def _total(x):
+    return F.aggregate(x, F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double"))
+
+
+@register("concat_modalities", f"{MODAL_SQL} SELECT row_id, dim, round(t + i, 6) AS total FROM md")
 def q_concat_modalities(spark, d):
-    ix = _ix(spark, d, with_vectors=True).withColumn("dense", V.zero_vector(8))
-    c = ix.select("row_id", FT.concat_modalities(["text_emb", "text_emb", "dense"], "x"))
-    return c.select("row_id", F.size("x").alias("dim"),
-                    F.aggregate("x", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")).alias("total"))
+    c = _modalities(spark, d).select("row_id", FT.concat_modalities(["text_emb", "img_emb"], "x"))
+    return c.select("row_id", F.size("x").alias("dim"), _total("x").alias("total"))
 
 
-@register("mask_modality", f"""WITH {O.ix_cte(vec=True)}
-  SELECT row_id, CAST(len(text_emb) AS INTEGER) AS dim, 0.0 AS total FROM ix""")
+@register("mask_modality", f"""{MODAL_SQL}
+  SELECT row_id, 'text_emb' AS masked, dim, round(i, 6) AS total FROM md
+  UNION ALL SELECT row_id, 'img_emb', dim, round(t, 6) FROM md""")
 def q_mask_modality(spark, d):
-    ix = _ix(spark, d, with_vectors=True)
-    m = ix.select("row_id", V.zeros_like("text_emb").alias("z"))
-    return m.select("row_id", F.size("z").alias("dim"),
-                    F.aggregate("z", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")).alias("total"))
+    """The joined input with one modality zeroed, for each of them in turn."""
+    rows, kinds = _modalities(spark, d), ("text_emb", "img_emb")
+    each = [F.struct(F.lit(k).alias("masked"),
+                     F.concat(*[(V.zeros_like(c) if c == k else F.col(c)).cast("array<float>") for c in kinds]).alias("x")) for k in kinds]
+    return rows.select("row_id", F.inline(F.array(*each))).select("row_id", "masked", F.size("x").alias("dim"), _total("x").alias("total"))
