@@ -182,23 +182,27 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def chain(found: DataFrame) -> DataFrame:
     """(file, at) of the candidates that a file's chain of records reaches, by
-    pointer jumping from offset 0."""
-    jump = materialize(found.filter("next is not null").select("file", "at", "next"), "warc-jump")
-    marked = materialize(jump.filter("at = 0").select("file", "at"), "warc-marked")
-    n = marked.count()
+    pointer jumping from offset 0.
+
+    The tables have a row per candidate and compress to a few bytes a row, so
+    their file size says little about their size in memory: the joins are merge
+    joins by hint, never broadcasts."""
+    jump = materialize(found.filter("next is not null").select(F.xxhash64("file").alias("f"), "file", "at", "next"), "warc-jump")
+    marked = materialize(jump.filter("at = 0").select("f", "file", "at"), "warc-marked")
+    key, n = ["f", "file", "at"], marked.count()
     while True:
-        ahead = marked.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
+        ahead = marked.join(jump.hint("merge"), key).select("f", "file", F.col("next").alias("at"))
         # successors that are candidates themselves; others are the file's end
-        marked = materialize(marked.unionByName(ahead.join(jump.select("file", "at"), ["file", "at"], "left_semi")).distinct(), "warc-marked")
+        ahead = ahead.join(jump.select(*key).hint("merge"), key, "left_semi")
+        marked = materialize(marked.unionByName(ahead).distinct(), "warc-marked")
         more = marked.count()
         if more == n:
-            return marked
+            return marked.drop("f")
         n = more
-        far = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
-        # pointers past a file's end stop there
-        jump = materialize(jump.join(far, ["file", "next"]).select("file", "at", F.col("far").alias("next"))
-                           .unionByName(jump.join(far, ["file", "next"], "left_anti")
-                                        .select("file", "at", F.col("next"))), "warc-jump")
+        # a pointer that leaves the candidates stays where it is
+        far = jump.select("f", "file", F.col("at").alias("next"), F.col("next").alias("far"))
+        jump = materialize(jump.join(far.hint("merge"), ["f", "file", "next"], "left")
+                           .select(*key, F.coalesce("far", "next").alias("next")), "warc-jump")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
