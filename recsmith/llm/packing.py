@@ -57,7 +57,7 @@ class WordTokenizer:
     _ODD = re.compile("[^\t\n\r\x20-\x7eÀ-įı-ž]")
     _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ž]+|[0-9]|[^\\sa-z0-9À-ÖØ-öø-ž]+")
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 1_400_000):
         from tokenizers import Tokenizer
         self.tk = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u4" if self.tk.get_vocab_size() > 65_536 else "<u2")
