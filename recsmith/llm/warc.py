@@ -94,7 +94,9 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
     The files are read in pieces between empty lines. A candidate's header ends
     with its piece; its block is summed up while later pieces go by, so a task
-    holds running digests, not payloads."""
+    holds running digests, not payloads. A piece that an empty line closes never
+    ends in a line end, as the empty line would start there: one that does is
+    the rest of a file whose last payload ends in an odd number of line ends."""
     sep = CRLF + CRLF
     pieces = (spark.read.option("lineSep", sep).text(path)
               .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
@@ -148,8 +150,9 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 if f != here:
                     end_file()
                     here, at = f, 0
-                end = at + len(value) + 4
-                feed(value + b"\r\n\r\n", at)
+                data = value if value.endswith(b"\r\n") else value + b"\r\n\r\n"
+                end = at + len(data)
+                feed(data, at)
                 for m in _MAGIC.finditer(value):
                     head = dict(_FIELD.findall(value[m.end():]))
                     length = head.get(b"Content-Length", b"")

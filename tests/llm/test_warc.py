@@ -74,3 +74,22 @@ def test_truncated_file(spark, tmp_path):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.round_trip(pages).collect() == []
+
+
+def test_files_that_end_in_line_ends(spark, tmp_path):
+    """The last payload of every file ends in line ends; cut files stay errors."""
+    rows = [(1, "\r\n"), (2, "body\r\n"), (3, "a\r\n\r\n"), (4, "a\r\n\r\n\r\n"), (5, "\r\n\r\n\r\n"), (6, "x\r"), (7, "x\n"), (8, "\n\r\n"), (9, ""),
+            (10, fake(4) + "abcd\r\n\r\n" + "\r\n")]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in rows], "page_id bigint, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write(pages.coalesce(1), path, rows_per_file=1)
+    names = [f for f in os.listdir(path) if f.endswith(".gz")]
+    assert len(names) == len(rows) and got(warc.read(spark, path)) == want(rows)
+    for cut in (1, 2, 3, 5, 6):
+        broken = tmp_path / f"cut{cut}"
+        broken.mkdir()
+        whole = next(gzip.decompress(open(os.path.join(path, f), "rb").read()) for f in names
+                     if b"<urn:page:2>" in gzip.decompress(open(os.path.join(path, f), "rb").read()))
+        (broken / "a.txt.gz").write_bytes(gzip.compress(whole[:-cut]))
+        with pytest.raises(ValueError):
+            warc.read(spark, str(broken)).collect()
