@@ -61,8 +61,9 @@ class Node:
         self.links = 0
 
 
-def parse(page: str) -> list[Node]:
-    """Block elements and text runs, parents before children; node 0 is the root."""
+def parse(page: str, labelled: bool = True) -> list[Node]:
+    """Block elements and text runs, parents before children; node 0 is the root.
+    Only a ``labelled`` page's data-y is read."""
     nodes = [Node("#root", -1, [], None)]
     stack: list[tuple[str, int]] = [("#root", 0)]       # open elements: tag, nearest block node
     run: list[str] = []
@@ -161,7 +162,7 @@ def parse(page: str) -> list[Node]:
                 for a in _ATTR.finditer(m[3]):
                     key, value = a[1].lower(), a[2].strip("\"'")
                     if key == "data-y":
-                        label = int(value)
+                        label = int(value) if labelled else label
                     elif key == "style":
                         if "none" in value and re.search(r"display\s*:\s*none", value):
                             names.append("hidden")
@@ -243,7 +244,7 @@ class Model:
         return prob, pair
 
     def extract(self, page: str | None) -> str:
-        nodes = parse(page or "")
+        nodes = parse(page or "", labelled=False)
         if len(nodes) == 1:
             return ""
         features(nodes)

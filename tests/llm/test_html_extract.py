@@ -82,3 +82,9 @@ def test_edge_rows(spark, model):
     assert len(out) == 5 and out[(1, None)].text == "" and out[(None, "u")].text == "Some words are here."
     assert out[(4, "w")].n_chars == len("long text goes on and on") * 40_000 + 39_999
     assert H.extract(pages.filter("page_id > 90"), model).collect() == []
+
+
+@pytest.mark.parametrize("mark", ["1.5", "12px", "", "1", "0"])
+def test_training_marks_are_ignored(model, mark):
+    page = "<body><article><p>Some words of the article are here.</p></article></body>"
+    assert model.extract(page.replace("<p>", f'<p data-y="{mark}">')) == model.extract(page) != ""
