@@ -14,9 +14,11 @@ log-likelihood (observed minus expected features, from the same marginals).
 ``data-y``, 1 for article text and 0 for all else.
 
 Defined results: a null or empty page has no text (an empty string); broken
-markup is read as far as it goes (unclosed elements end with the page, an
-unclosed script or comment swallows the rest); repeated rows get equal results;
-other columns are ignored.
+markup is read as far as it goes (unclosed elements end with their parent, an
+unclosed script, style or comment swallows the rest); scripts, styles, titles,
+frames and text areas have no text, and neither have the DROPPED elements if
+their own end tag closes them: without it their text is judged like any other;
+repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 
 # fixed values: kinds of HTML elements
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = set("script style noscript template svg math iframe object select textarea button title head canvas audio video map".split())
-RAW = set("script style textarea title noscript iframe".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp "
-             "small span strike strong sub sup time tt u var wbr input".split())
+RAW = set("script style textarea title iframe".split())
+DROPPED = set("button select svg canvas audio video template".split())     # with all below them
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark meter nobr noscript object q rp "
+             "rt ruby s samp small span strike strong sub sup time tt u var wbr input "
+             "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup "
+             "munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
                "h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -45,6 +49,7 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
          "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 
 _MARK = re.compile(r"""<!--|<!\[CDATA\[|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>?)""")
+_DROP = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})[\s/>]", re.I)
 _ATTR = re.compile(r"""([^\s=/>"']++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -64,10 +69,21 @@ class Node:
 def parse(page: str, labelled: bool = True) -> list[Node]:
     """Block elements and text runs, parents before children; node 0 is the root.
     Only a ``labelled`` page's data-y is read."""
+    spans: dict[int, int] = {}
+    if _DROP.search(page):               # the first reading finds which elements their own end tags close
+        _read(page, False, {}, spans)
+    return _read(page, labelled, spans, {})
+
+
+def _read(page: str, labelled: bool, skip: dict[int, int], closed: dict[int, int]) -> list[Node]:
+    """The nodes of a page without the spans ``skip``; ``closed`` gets the spans
+    (end of start tag, end of end tag) of other DROPPED elements."""
     nodes = [Node("#root", -1, [], None)]
     stack: list[tuple[str, int]] = [("#root", 0)]       # open elements: tag, nearest block node
     run: list[str] = []
-    links = anchors = 0
+    opened: list[int] = []               # ends of the start tags of the open DROPPED elements
+    endless: set[str] = set()            # raw-text elements that no end tag follows
+    links = anchors = drawings = 0
     pos, end = 0, len(page)
 
     def flush() -> None:
@@ -82,11 +98,13 @@ def parse(page: str, labelled: bool = True) -> list[Node]:
         links = 0
 
     def pop_to(k: int) -> None:
-        nonlocal anchors
-        if any(t not in INLINE for t, _ in stack[k:]):
+        nonlocal anchors, drawings
+        if any(t not in INLINE and t not in DROPPED for t, _ in stack[k:]):
             flush()
         for t, _ in stack[k:]:
             anchors -= t == "a"
+            drawings -= t == "svg"
+        del opened[len(opened) - sum(t in DROPPED for t, _ in stack[k:]):]
         del stack[k:]
 
     def say(raw: str) -> None:
@@ -117,20 +135,33 @@ def parse(page: str, labelled: bool = True) -> list[Node]:
                 run.append(" ")
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
+                    if tag in DROPPED:
+                        closed[opened[-1 - sum(t in DROPPED for t, _ in stack[k + 1:])]] = pos
                     pop_to(k)
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
-        if tag in SKIPPED:
-            if tag in RAW or tag == "head":
+        if tag in RAW or tag == "head":
+            q = None
+            if tag not in endless:
                 q = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|<body", re.I).search(page, pos)
-                pos = end if not q else q.start() if tag == "head" and q[0][1] != "/" else q.end()
-                if not q and tag == "head":          # a head that never ends: read on
-                    pos = m.end()
-            elif not m[3].endswith("/>"):            # nested markup, to its end tag
-                q = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-                pos = q.end() if q else end
+            if q:
+                pos = q.start() if tag == "head" and q[0][1] != "/" else q.end()
+            elif tag in ("script", "style"):
+                pos = end
+            else:                                    # one that never ends: read on
+                endless.add(tag)
+            continue
+        if tag in DROPPED:
+            if pos in skip:
+                pos = skip[pos]
+            elif not m[3].endswith("/>"):
+                stack.append((tag, stack[-1][1]))
+                opened.append(pos)
+                drawings += tag == "svg"
+            continue
+        if drawings and m[3].endswith("/>"):
             continue
         if tag in VOID:
             run.append(" ")

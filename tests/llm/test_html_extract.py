@@ -88,3 +88,25 @@ def test_edge_rows(spark, model):
 def test_training_marks_are_ignored(model, mark):
     page = "<body><article><p>Some words of the article are here.</p></article></body>"
     assert model.extract(page.replace("<p>", f'<p data-y="{mark}">')) == model.extract(page) != ""
+
+
+STORY = "<article><p>The first words of the article are here.</p><p>And a second paragraph follows it.</p></article>"
+
+
+@pytest.mark.parametrize("tag", "svg math object select button canvas audio video map template noscript textarea title iframe".split())
+def test_unclosed_elements_keep_the_page(model, tag):
+    want = "The first words of the article are here.\n\nAnd a second paragraph follows it."
+    for page in (f"<body><{tag}>{STORY}</body>", f"<body><div><{tag}></div>{STORY}<{tag}>Go</{tag}></body>"):
+        if tag in H.RAW and f"</{tag}" in page:      # raw text up to the end tag
+            continue
+        assert want in model.extract(page)
+
+
+@pytest.mark.parametrize("inner, want", [
+    ("where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "where x=2 holds"), ("see <object>the chart</object> here", "see the chart here"),
+    ("see <noscript>the picture</noscript> here", "see the picture here"), ("see <map>the plan</map> here", "see the plan here"),
+    ("see <svg><svg><text>a</text></svg><path/>b</svg>here", "see here"), ("see <button><b>Go<div>on</div></b></button>here", "see here"),
+    ("see <select><option>a<option>b</select>here", "see here")])
+def test_elements_within_text(model, inner, want):
+    page = f"<body><article><p>In this article we {inner} and go on with it.</p></article></body>"
+    assert model.extract(page) == f"In this article we {want} and go on with it."
