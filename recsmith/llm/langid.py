@@ -24,12 +24,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recsmith.llm.common import materialize
+
 UNDETERMINED = "und"
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 256
-#: Bounds of the training sample: languages, rows of each, bytes of each row.
-MAX_LANGS, ROWS_PER_LANG, TRAIN_BYTES = 64, 600, 2048
+#: Bounds of the training sample: rows of a language, rows of all (but with very
+#: many languages LEAST_ROWS of each), windows of a row.
+ROWS_PER_LANG, TRAIN_ROWS, LEAST_ROWS, TRAIN_WINDOWS = 600, 38_400, 8, 8
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -154,25 +157,35 @@ class Predictor:
         return lang, score
 
 
+def training_windows(text: Column, order: Column) -> Column:
+    """The bytes of TRAIN_WINDOWS windows, one of each equal part of the text by
+    a hash; of all windows if there are no more."""
+    raw = F.encode(text, "UTF-8")
+    n = F.ceil(F.octet_length(raw) / WINDOW).cast("long")
+    part = lambda k: F.floor(n * k / TRAIN_WINDOWS).cast("long")
+    picked = [part(k) + F.pmod(F.xxhash64(order, F.lit(k)), F.greatest(F.lit(1), part(k + 1) - part(k))) for k in range(TRAIN_WINDOWS)]
+    return F.when(n <= TRAIN_WINDOWS, raw).otherwise(
+        F.concat(*[F.substring(raw, (i * WINDOW + 1).cast("int"), F.lit(WINDOW)) for i in picked]))
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", seed: int = 7) -> Network:
-    """Trains on a sample of at most MAX_LANGS * ROWS_PER_LANG rows: of each of
-    the most frequent languages about 4 * ROWS_PER_LANG rows by a hash of the id,
-    and of these the ROWS_PER_LANG with the smallest hash."""
+    """Trains on a sample of every language: about four times the rows that it
+    may have by a hash of id and text, and of these those with the smallest
+    hash. All languages have the same bound, lower if there are many."""
+    order = F.xxhash64(F.col("id").cast("string"), F.col("text"), F.lit(seed))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"),
                        F.col(f"`{text_col}`").alias("text")).filter(
         (split_of(F.col("id")) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    common = [r.lang for r in counts]
+    rows = rows.withColumn("order", order).withColumn("place", F.pmod("order", F.lit(1_000_003)))
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")), "lang-counts")
+    most = min(ROWS_PER_LANG, max(LEAST_ROWS, TRAIN_ROWS // max(1, counts.count())))
     w = Window.partitionBy("lang").orderBy("order", "text")
-    order = F.xxhash64(F.col("id").cast("string"), F.lit(seed))
-    # the smallest hashes of n rows lie below a share of about ROWS_PER_LANG / n of all hashes: rows far above stay out
-    # of the window, so a language's task reads a few times ROWS_PER_LANG rows however many there are
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 4 * ROWS_PER_LANG / r["count"]))).otherwise(share)
-    sample = (rows.filter(F.col("lang").isin(common)).filter(F.pmod(order, F.lit(1_000_003)) < share * 1_000_003)
-              .select("lang", F.encode(F.substring("text", 1, TRAIN_BYTES), "UTF-8").alias("text"), order.alias("order"))
-              .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= ROWS_PER_LANG)
+    # the smallest hashes of n rows lie below a share of about most / n of all hashes: rows far above stay out of the
+    # window, so a language's task reads a few times its rows however many there are; its first place is always in
+    bound = counts.select("lang", F.greatest(F.lit(4 * most) / F.col("n") * 1_000_003, F.col("first") + 1).alias("bound"))
+    sample = (rows.join(F.broadcast(bound), "lang").filter(F.col("place") < F.col("bound"))
+              .select("lang", training_windows(F.col("text"), F.col("order")).alias("text"), "order")
+              .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
               .orderBy("lang", "rank").select("lang", "text").collect())
     if not sample:
         return Network([], [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))

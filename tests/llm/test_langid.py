@@ -45,3 +45,16 @@ def test_edge_rows(spark, docs, no_docs):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
     assert docs.filter(langid.accepted(F.col("text"), langid.fit(unlabelled), 0.5)).count() == 8
+
+
+def test_every_language_is_learned(spark):
+    """More languages than 64, with null ids too; what tells them apart stands late in long texts."""
+    names = [f"l{i:02}" for i in range(70)]
+    rows = [(None if k < 3 else 100 * i + k, f"{chr(0x4E00 + 70 * i)}{chr(0x4E00 + 70 * i + 1)} " * 40, n) for i, n in enumerate(names)
+            for k in range(12 if i < 69 else 4)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert net.langs == names
+    same = "the same start of all texts " * 100
+    late = [(i, same + ("aaab aab " if i % 2 else "zzzy zzy ") * 900, "a" if i % 2 else "z") for i in range(60)]
+    net = langid.fit(spark.createDataFrame(late, "doc_id bigint, text string, lang string"))
+    assert langid.Predictor(net).texts(["aaab aab " * 30, "zzzy zzy " * 30])[0] == ["a", "z"]
