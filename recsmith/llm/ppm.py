@@ -13,11 +13,11 @@ scored.
 
 The trie is counted by Spark: tasks count the longest contexts of their texts by
 sorting codes, the counts are added by code, and shorter contexts are sums of
-longer ones. The counts cover all training texts. The model that scores is
-bounded: of each order at most MAX_NODES (context, symbol) pairs, the most
-frequent, by raising the least count that is kept; what is cut escapes to
-shorter contexts. Its size bounds what reaches the driver and the workers. While
-fewer nodes exist nothing is cut.
+longer ones. The counts cover all training texts and stay in Spark, uncut. The
+MAX_NODES most frequent (context, symbol) pairs of the longest contexts go to
+the workers with their probabilities, as a cache; the distinct other codes of
+each text are joined with the counts of every order, which give their exact
+probabilities. The size of the cache does not change a score.
 
 The base score uses counts of all words of the training texts. The HEAD_WORDS
 most frequent ones go to the workers; every other word of a text is looked up by
@@ -134,8 +134,51 @@ def gather(texts: DataFrame, order: int = ORDER, hold: int = 1 << 21) -> DataFra
     return texts.mapInArrow(run, "kind int, code bigint, n bigint")
 
 
+class Cache:
+    """Open addressing table: longest code -> log10 probability."""
+
+    def __init__(self, code: np.ndarray, logp: np.ndarray):
+        bits = max(4, int(np.ceil(np.log2(max(2, 2.5 * len(code))))))
+        self.shift = _U(64 - bits)
+        self.key = np.full(1 << bits, ~_U(0))
+        self.val = np.zeros(1 << bits, np.float32)
+        slot, left = (code * _MIX >> self.shift).astype(np.int64), np.arange(len(code))
+        while len(left):
+            free = self.key[slot[left]] == ~_U(0)
+            taken, first = np.unique(slot[left[free]], return_index=True)
+            placed = left[free][first]
+            self.key[taken], self.val[taken] = code[placed], logp[placed]
+            done = np.zeros(len(code), bool)
+            done[placed] = True
+            left = left[~done[left]]
+            slot[left] = (slot[left] + 1) & (len(self.key) - 1)
+
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes' values, 0 if missing; and where codes are missing."""
+        out = np.empty(len(code), np.float64)
+        slot = (code * _MIX >> self.shift).astype(np.int64)
+        key = self.key[slot]
+        hit = key == code
+        out[:] = self.val[slot]
+        look = np.flatnonzero(~hit & (key != ~_U(0)))
+        miss = [np.flatnonzero(key == ~_U(0))]
+        at = slot[look]
+        while len(look):
+            at = (at + 1) & (len(self.key) - 1)
+            key = self.key[at]
+            found = key == code[look]
+            out[look[found]] = self.val[at[found]]
+            empty = key == ~_U(0)
+            miss.append(look[empty])
+            go = ~found & ~empty
+            look, at = look[go], at[go]
+        rest = np.sort(np.concatenate(miss))
+        out[rest] = 0
+        return out, rest
+
+
 class Model:
-    """Scores texts with counts of each order: {order: (codes, counts)}."""
+    """Scores texts in memory with counts of each order: {order: (codes, counts)}."""
 
     def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
         self.order = order
@@ -170,49 +213,15 @@ class Model:
         return own[at] == code, at
 
     def _table(self) -> None:
-        """Open addressing table: longest code -> log10 probability, the pairs
-        that the longest contexts have seen."""
+        """The pairs that the longest contexts have seen."""
         code, n = self.codes[self.order], self.counts[self.order]
-        bits = max(4, int(np.ceil(np.log2(max(2, 2.5 * len(code))))))
-        self.shift = _U(64 - bits)
-        self.key = np.full(1 << bits, ~_U(0))
-        self.val = np.zeros(1 << bits, np.float32)
-        if not len(code):
-            return
         ctx, total, distinct, _, _ = self.ctx[self.order]
         at = np.searchsorted(ctx, code >> _U(8))
-        logp = np.log10(n / (total[at] + distinct[at]))
-        slot, left = (code * _MIX >> self.shift).astype(np.int64), np.arange(len(code))
-        while len(left):
-            free = self.key[slot[left]] == ~_U(0)
-            taken, first = np.unique(slot[left[free]], return_index=True)
-            placed = left[free][first]
-            self.key[taken], self.val[taken] = code[placed], logp[placed]
-            done = np.zeros(len(code), bool)
-            done[placed] = True
-            left = left[~done[left]]
-            slot[left] = (slot[left] + 1) & (len(self.key) - 1)
+        self.cache = Cache(code, np.log10(n / (total[at] + distinct[at])) if len(code) else np.zeros(0))
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of each (context, symbol) code."""
-        out = np.empty(len(code), np.float64)
-        slot = (code * _MIX >> self.shift).astype(np.int64)
-        key = self.key[slot]
-        hit = key == code
-        out[:] = self.val[slot]
-        look = np.flatnonzero(~hit & (key != ~_U(0)))
-        miss = [np.flatnonzero(key == ~_U(0))]
-        at = slot[look]
-        while len(look):
-            at = (at + 1) & (len(self.key) - 1)
-            key = self.key[at]
-            found = key == code[look]
-            out[look[found]] = self.val[at[found]]
-            empty = key == ~_U(0)
-            miss.append(look[empty])
-            go = ~found & ~empty
-            look, at = look[go], at[go]
-        rest = np.concatenate(miss)
+        out, rest = self.cache.find(code)
         if len(rest):
             distinct, back = np.unique(code[rest], return_inverse=True)
             out[rest] = self._escaped(distinct)[back]
@@ -253,19 +262,70 @@ class Model:
         return np.add.reduceat(self.log10(code), cut[:-1])
 
 
-def train(texts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> tuple[DataFrame, Model]:
-    """The words' counts (code, n) and the model of (text) rows."""
+def count(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """The counts (code, n) of words, and of the nodes of each order, of (text) rows."""
     counts = materialize(gather(texts, order).groupBy("kind", "code").agg(F.sum("n").alias("n")), "ppm-counts")
-    nodes, tables = counts.filter(F.col("kind") == NODE).select("code", "n"), {}
-    for o in range(order, -1, -1):
-        if o < order:                    # a shorter context: the longer codes without their first byte
-            nodes = materialize(nodes.select(F.col("code").bitwiseAND(F.lit((1 << 8 * (o + 1)) - 1)).alias("code"), "n")
+    tables = {order: counts.filter(F.col("kind") == NODE).select("code", "n")}
+    for o in range(order - 1, -1, -1):       # a shorter context: the longer codes without their first byte
+        tables[o] = materialize(tables[o + 1].select(_tail(F.col("code"), o).alias("code"), "n")
                                 .groupBy("code").agg(F.sum("n").alias("n")), "ppm-nodes")
-        tables[o] = _bounded(nodes, max_nodes)
-    return counts.filter(F.col("kind") == WORD).select("code", "n"), Model(tables, order)
+    return counts.filter(F.col("kind") == WORD).select("code", "n"), tables
 
 
-def _bounded(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> tuple[DataFrame, Model]:
+    """The words' counts (code, n) and the model in memory, of ``max_nodes``
+    nodes of each order at most, of (text) rows."""
+    words, tables = count(texts, order)
+    return words, Model({o: _bounded(t, max_nodes) for o, t in tables.items()}, order)
+
+
+def _tail(code: Column, order: int) -> Column:
+    """The part of a longer code that a context of ``order`` bytes and the symbol have."""
+    return code.bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+
+
+def _sized(table: DataFrame, length: int) -> DataFrame:
+    """For a join by codes of ``length`` bytes: up to 2 bytes there are 65,536
+    rows at most; others grow and are never broadcast."""
+    return F.broadcast(table) if length <= 2 else table.hint("merge")
+
+
+def contexts(tables: dict[int, DataFrame]) -> dict[int, DataFrame]:
+    """ctx, total, distinct, below of each order: occurrences and distinct
+    symbols of a context, and what these symbols hold in the context one byte shorter."""
+    out = {}
+    for o, nodes in tables.items():
+        each = nodes.select("code", "n", F.lit(0).cast("long").alias("below"))
+        if o:
+            shorter = tables[o - 1].select(F.col("code").alias("short"), F.col("n").alias("below"))
+            each = nodes.withColumn("short", _tail(F.col("code"), o - 1)).join(_sized(shorter, o), "short")
+        out[o] = materialize(each.groupBy(F.shiftright("code", 8).alias("ctx")).agg(
+            F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("below").alias("below")), "ppm-contexts")
+    return out
+
+
+def probabilities(wanted: DataFrame, tables: dict[int, DataFrame], ctx: dict[int, DataFrame]) -> DataFrame:
+    """code, logp of distinct codes, by the full chain of contexts (as in ``Model._escaped``)."""
+    at = wanted.select("code", F.lit(0.0).alias("logp"), F.lit(True).alias("open"),
+                       F.lit(0).cast("long").alias("off_n"), F.lit(0).cast("long").alias("off_d"))
+    for o in range(max(tables), -1, -1):
+        at = at.withColumn("mine", _tail(F.col("code"), o)).withColumn("ctx", F.shiftright("mine", 8))
+        at = at.join(_sized(tables[o].withColumnRenamed("code", "mine"), o + 1), "mine", "left")
+        at = at.join(_sized(ctx[o], o), "ctx", "left")
+        at = at.select("code", "logp", "open", "n", "distinct", "below", "off_n", "off_d",
+                       F.greatest(F.col("distinct") - F.col("off_d"), F.lit(0)).alias("d"),
+                       F.greatest(F.col("total") - F.col("off_n"), F.lit(0)).alias("left"))
+        room = F.col("d") + F.col("left")
+        take = F.col("open") & F.col("n").isNotNull() & F.coalesce(room > 0, F.lit(False))
+        escape = F.col("open") & F.coalesce(F.col("d") > 0, F.lit(False))
+        at = at.select("code", (F.col("logp") + F.when(take, F.log10(F.col("n") / room)).when(escape, F.log10(F.col("d") / room))
+                                .otherwise(0.0)).alias("logp"), (F.col("open") & ~take).alias("open"),
+                       F.coalesce("below", F.lit(0)).alias("off_n"), F.coalesce("distinct", F.lit(0)).alias("off_d"))
+    return at.select("code", (F.col("logp") - F.when(F.col("open"), F.log10(F.greatest(F.lit(1), 256 - F.col("off_d"))))
+                              .otherwise(0.0)).alias("logp"))
+
+
+def _frequent(table: DataFrame, most: int) -> DataFrame:
     """The rows whose count reaches a power of two, the least such that ``most`` rows or fewer do."""
     least = 1
     if table.count() > most:
@@ -276,22 +336,30 @@ def _bounded(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             if kept > most:
                 break
             least = 1 << r.power
-    got = table.filter(F.col("n") >= least).toArrow()
+    return table.filter(F.col("n") >= least)
+
+
+def _bounded(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    got = _frequent(table, most).toArrow()
     return got.column("code").to_numpy().astype(np.int64).view(_U), got.column("n").to_numpy()
 
 
 def score(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES, head_words: int = HEAD_WORDS,
           text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
+    every row. ``max_nodes`` and ``head_words`` bound the workers' caches."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    words, model = train(rows.filter(split_of(F.col("doc_id")) != 0).select("text"), order, max_nodes)
-    words = materialize(words, "ppm-words")
+    words, tables = count(rows.filter(split_of(F.col("doc_id")) != 0).select("text"), order)
+    words, ctx = materialize(words, "ppm-words"), contexts(tables)
+    frequent = (_frequent(tables[order], max_nodes).withColumn("ctx", F.shiftright("code", 8)).join(_sized(ctx[order], order), "ctx")
+                .select("code", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("logp")).toArrow())
+    cache = Cache(frequent.column("code").to_numpy().astype(np.int64).view(_U), frequent.column("logp").to_numpy())
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, room = int(total.n), total.n + 0.1 * (total.v + 1)
     head_codes, head_n = _bounded(words, head_words)
     at = np.argsort(head_codes)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, head_codes[at], np.log10(head_n[at] + 0.1)))
+    shared = spark.sparkContext.broadcast((cache, head_codes[at], np.log10(head_n[at] + 0.1)))
     unknown = float(np.log10(0.1))
 
     def run(batches):
@@ -301,7 +369,7 @@ def score(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES, head_
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [folded(t) for t in batch.column("text").to_pylist()]
-            k, n_tokens, n_head, head, ppm, tail = 0, [], [], [], [], []
+            k, n_tokens, n_head, head, ppm, tail, rare, times = 0, [], [], [], [], [], [], []
             while k < len(texts):
                 group, size = [], 0
                 while k < len(texts) and size < 1 << 21:
@@ -323,27 +391,41 @@ def score(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES, head_
                 n_tokens += np.diff(cut).tolist()
                 n_head += np.add.reduceat(known.astype(np.int64), cut[:-1]).tolist()
                 head += np.add.reduceat(value, cut[:-1]).tolist()
-                ppm += m.score(group).tolist()
+                code, start = codes(group, order)
+                logp, rest = m.find(code)
+                ppm += np.add.reduceat(logp, start[:-1]).tolist()
+                part = np.searchsorted(rest, start)
+                for a, b in zip(part, part[1:], strict=False):
+                    c, n = counted(code[rest[a:b]])
+                    rare.append(c.view(np.int64))
+                    times.append(n)
                 tail += [h[a:b][~known[a:b]].view(np.int64) for a, b in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.arange(serial, serial + len(texts)) + base, pa.int64()),
                  pa.array(n_tokens, pa.int64()), pa.array(n_head, pa.int64()), pa.array(head, pa.float64()),
-                 pa.array(ppm, pa.float64()), pa.array(tail, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "n_tokens", "n_head", "head", "score", "tail"])
+                 pa.array(ppm, pa.float64()), pa.array(tail, pa.list_(pa.int64())),
+                 pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n_tokens", "n_head", "head", "score", "tail", "rare", "times"])
             serial += len(texts)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     scored = materialize(rows.mapInArrow(run, f"doc_id {id_type}, row bigint, n_tokens bigint, n_head bigint, "
-                                              "head double, score double, tail array<bigint>"), "ppm-scored")
+                                              "head double, score double, tail array<bigint>, rare array<bigint>, times array<bigint>"), "ppm-scored")
     # the rare words of each text, by join
     tails = scored.select("row", F.explode("tail").alias("code")).groupBy("row", "code").agg(F.count("*").alias("tf"))
     tails = (tails.join(words, "code", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("n_tail"),
         F.sum(F.col("tf") * F.coalesce(F.log10(F.col("n") + 0.1), F.lit(unknown))).alias("tail_score")))
-    out = scored.drop("tail").join(tails, "row", "left")
+    # the codes that the cache lacks, by joins with the counts of every order
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
+        "row", F.col("x.rare").alias("code"), F.col("x.times").alias("tf"))
+    exact = probabilities(materialize(rare.select("code").distinct(), "ppm-rare"), tables, ctx)
+    rare = (rare.join(materialize(exact, "ppm-exact").hint("merge"), "code").groupBy("row")
+            .agg(F.sum(F.col("tf") * F.col("logp")).alias("rare_score")))
+    out = scored.drop("tail", "rare", "times").join(tails, "row", "left").join(rare, "row", "left")
     return out.select(
         "doc_id", (split_of(F.col("doc_id")) == 0).alias("held_out"), "n_tokens",
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("head") + F.coalesce("tail_score", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(room)) if room > 0 else 0.0)).alias("base_score"),
-        "score")
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))

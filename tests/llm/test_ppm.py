@@ -101,3 +101,15 @@ def test_edge_rows(spark, docs, no_docs):
     only = held.filter(ppm.split_of(held.doc_id) == 0)
     for r in ppm.score(only).collect():             # no training text at all
         assert r.n_known == 0 and r.train_tokens == 0
+
+
+@pytest.mark.parametrize("nodes", [0, 300, 1 << 20])
+def test_cache_does_not_change_scores(spark, small, nodes):
+    """Whatever the workers hold, scores are those of all counts."""
+    docs = small.filter("doc_id < 24").selectExpr("doc_id", "left(text, 300) AS text")
+    texts = {r.doc_id: ppm.folded(r.text) for r in docs.collect()}
+    d = Direct([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10], ppm.ORDER)
+    rows = ppm.score(docs, max_nodes=nodes).collect()
+    assert len(rows) == len(texts) and any(r.held_out for r in rows)
+    for r in rows:
+        assert abs(r.score - d.text(texts[r.doc_id])) < 1e-6 * abs(r.score)
