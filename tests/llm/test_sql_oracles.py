@@ -16,7 +16,7 @@ def rows_of(columns, rows):
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_equal_to_sql(spark, sf, key):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         path = f"{sf}/{t}.parquet"
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
     df, rel = QUERIES[key](spark, sf), con.sql(SQL[key])
@@ -25,4 +25,4 @@ def test_equal_to_sql(spark, sf, key):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
