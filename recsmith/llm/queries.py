@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recsmith.llm import (
-    decontam, html_extract, langid, license_scan, minhash, packing, ppm, quality_rules, url_filter, warc)
+    collocations, decontam, html_extract, langid, license_scan, minhash, multi_index, packing, ppm, quality_rules,
+    resample, url_filter, warc)
 from recsmith.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +167,89 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extract")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS uid, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+one AS (SELECT len(e) AS d FROM good GROUP BY d ORDER BY count(*) DESC, d LIMIT 1),
+g AS (SELECT uid, vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM good WHERE len(e) = (SELECT d FROM one)),
+link AS (SELECT a.uid AS a, b.uid AS b, b.vec_id AS id FROM g a JOIN g b ON a.uid <> b.uid
+         AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {similarity}),
+reach AS (SELECT uid AS a, uid AS b FROM g UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a AS uid, min(g.vec_id) AS component_id FROM reach JOIN g ON g.uid = reach.b GROUP BY a),
+n AS (SELECT a AS uid, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, CASE WHEN g.uid IS NULL THEN vec_id ELSE component_id END AS component_id,
+       (vec_id IS NOT DISTINCT FROM CASE WHEN g.uid IS NULL THEN vec_id ELSE component_id END) AS kept
+FROM v LEFT JOIN (SELECT uid FROM g) g USING (uid) LEFT JOIN comp USING (uid) LEFT JOIN n USING (uid)
+""".format(similarity=multi_index.SIMILARITY)
+
+
+@query("op11_embedding_dedup", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (
+        SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (
+          SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k))
+      GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= {least}),
+cut AS (SELECT lang, phrase, a, m, array_to_string(ws[1:m], ' ') AS lp, array_to_string(ws[m + 1:], ' ') AS rp
+        FROM (SELECT *, unnest(range(1, k)) AS m FROM c)),
+s AS (SELECT cut.lang, cut.phrase, cut.a, m, x.a AS l, y.a AS r,
+             ((1000000::HUGEINT * cut.a * cut.a) // (x.a::HUGEINT * y.a::HUGEINT))::BIGINT AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = lp JOIN f y ON y.lang = cut.lang AND y.phrase = rp),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, m) = 1),
+inside AS (SELECT lang, phrase, max(a) AS around FROM (
+             SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3)
+           GROUP BY ALL),
+kept AS (SELECT low.*, n FROM low JOIN n USING (lang) LEFT JOIN inside USING (lang, phrase)
+         WHERE around IS NULL OR 100 * around < {swallowed} * a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+WHERE rank <= {top}
+""".format(least=10, swallowed=50, top=2000)
+
+
+@query("op12_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), least=10, swallowed=50, top=2000)
+
+
+OP13_SQL = r"""
+WITH tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+                         ORDER BY i) AS t FROM (SELECT unnest(range(0, 256)) AS i)),
+dw AS (SELECT doc_id, row_number() OVER () AS uid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+f AS (SELECT uid, w, count(*) AS c FROM (SELECT uid, unnest(ws) AS w FROM dw) GROUP BY ALL),
+words AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM f UNION SELECT w FROM bw)),
+bucket AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], [('0x' || x[2 * j + 1:2 * j + 2])::BIGINT FOR j IN range(len(x) // 2)]),
+                  lambda crc, byte: xor(t[(xor(crc, byte) & 255) + 1], crc >> 8)), 4294967295) % {buckets} AS b FROM words, tab),
+s AS (SELECT b, sum(c) AS n FROM f JOIN bucket USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM bw JOIN bucket USING (w) GROUP BY b),
+tot AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),
+gain AS (SELECT s.b, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * (tot.s + {buckets})) / ((s.n + 1)::DOUBLE * (tot.t + {buckets}))))::BIGINT AS g
+         FROM s LEFT JOIN t USING (b), tot),
+weight AS (SELECT uid, sum(c * g)::BIGINT AS weight FROM f JOIN bucket USING (w) JOIN gain USING (b) GROUP BY uid),
+sc AS (SELECT doc_id, uid, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+              coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                     / 4294967296.0::DOUBLE)))::BIGINT AS score
+       FROM dw LEFT JOIN weight USING (uid)),
+able AS (SELECT uid, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank, count(*) OVER () AS n FROM sc WHERE n_features >= {least})
+SELECT doc_id, n_features, weight, score, (CASE WHEN rank <= (n * {percent}) // 100 THEN rank END)::BIGINT AS rank FROM sc LEFT JOIN able USING (uid)
+""".format(buckets=resample.BUCKETS, seed=resample.SEED, least=resample.LEAST_WORDS, percent=resample.PERCENT)
+
+
+@query("op13_resample", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
