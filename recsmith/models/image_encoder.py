@@ -41,11 +41,23 @@ def histogram_encoder(dim: int = DIM, seed: int = SEED):
     return make_predict
 
 
+def brightness_encoder(cells: int = 64):
+    """Centred and normalised brightness of a decoded picture's parts (``pictures.decode``: grid)."""
+    def make_predict():
+        def predict(grids: np.ndarray) -> np.ndarray:
+            m = np.asarray([np.zeros(cells) if g is None else g for g in grids], dtype=np.float64).reshape(len(grids), cells)
+            m = m - m.mean(1, keepdims=True)
+            return (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        return predict
+    return make_predict
+
+
 def embed_images(pictures: DataFrame, content: str = "content", out: str = "img_vec",
-                 make_predict=None, dim: int = DIM, batch_size: int = BATCH) -> DataFrame:
+                 make_predict=None, dim: int = DIM, batch_size: int = BATCH, shape: list[int] | None = None) -> DataFrame:
+    """(pic_id, out). ``shape``: that of an input, where it is an array column."""
     make_predict = make_predict or histogram_encoder(dim)
     udf = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
-                            input_tensor_shapes=None)
+                            input_tensor_shapes=[shape] if shape else None)
     uniq = pictures.select("pic_id", content).dropDuplicates(["pic_id"])
     have = uniq.filter(F.col(content).isNotNull())
     enc = have.withColumn(out, udf(F.col(content))).select("pic_id", out)

@@ -3,8 +3,9 @@ file order), with the field fallbacks of the metadata builder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recsmith.operators.features import split_rank
 
@@ -66,3 +67,26 @@ def item_detail_lookup(requests: DataFrame, metadata: DataFrame, key: str = "bus
         md = md.withColumn("sales_volume", F.lit(None).cast("double"))
     md = md.withColumn("_found", F.lit(1))
     return requests.join(md, key, "left").withColumn("found", F.coalesce(F.col("_found"), F.lit(0))).drop("_found")
+
+
+def _bucket(key: F.Column, buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def store_details(metadata: DataFrame, path: str, buckets: int = 64, key: str = "business_id") -> str:
+    """Metadata laid out for point lookups: a folder per hash bucket of the id,
+    rows sorted by id (tight row-group statistics) with a bloom filter on it. A
+    lookup opens the files of one bucket and reads the row groups that may have
+    the id; nothing is aggregated or scanned as a whole. Choose buckets so that
+    one holds some tens of MB."""
+    rows = metadata.withColumn("bucket", _bucket(F.col(key), buckets)).repartition(F.col("bucket")).sortWithinPartitions("bucket", key)
+    (rows.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.block.size", 8 << 20)
+     .partitionBy("bucket").parquet(f"{path}/of-{buckets}"))
+    return path
+
+
+def detail_of(spark: SparkSession, path: str, item: str, schema, buckets: int = 64, key: str = "business_id") -> DataFrame:
+    """The stored details of one id, no row if it is unknown. ``schema``: that of the stored metadata."""
+    stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    rows = spark.read.schema(stored).parquet(f"{path}/of-{buckets}")
+    return rows.filter((F.col("bucket") == _bucket(F.lit(item), buckets)) & (F.col(key) == item)).drop("bucket")

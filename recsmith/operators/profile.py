@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,3 +142,68 @@ def guarded_corr(a: str, b: str) -> F.Column:
     under ANSI mode)."""
     den = F.stddev_pop(a) * F.stddev_pop(b)
     return F.when(den > 0, F.covar_pop(a, b) / den)
+
+
+MATRIX_SUMS = "grp string, matrix string, pos int, rows long, missing long, nan_rows long, n long, mean double, m2 double"
+
+
+def summarize_matrices(df: DataFrame, by: str, matrices: list[str]) -> DataFrame:
+    """(by, matrix, pos, n_rows, n_missing, nan_rows, n, mean, std) of every
+    component (pos from 1) of vector columns, in one pass.
+
+    A task adds up its rows per group and matrix: rows, null vectors, rows with a
+    NaN, and per component the count, mean and squared deviations of the values
+    that are numbers. What leaves it is a row per component, whatever its rows.
+    The moments are merged exactly (no difference of large squares); a vector of
+    another length than the longest counts where it has components."""
+    def run(batches):
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            grp = np.array(batch.column("grp").to_pylist(), object)
+            for name in matrices:
+                col = batch.column(name)
+                size = col.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+                for key in sorted(set(zip(grp.tolist(), size.tolist(), strict=True)), key=str):
+                    at = np.flatnonzero((grp == key[0]) & (size == key[1]))
+                    acc = sums.setdefault((key[0], name, key[1]), [0, 0, np.zeros(max(0, key[1])), np.zeros(max(0, key[1])), np.zeros(max(0, key[1]))])
+                    acc[0] += len(at)
+                    if key[1] <= 0:
+                        continue
+                    m = col.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), key[1])
+                    ok = ~np.isnan(m)
+                    acc[1] += int((~ok).any(1).sum())
+                    n = ok.sum(0)
+                    mean = np.where(ok, m, 0).sum(0) / np.maximum(n, 1)
+                    m2 = (np.where(ok, m - mean, 0) ** 2).sum(0)
+                    total = acc[2] + n
+                    away = mean - acc[3]
+                    acc[4] += m2 + away ** 2 * acc[2] * n / np.maximum(total, 1)
+                    acc[3] += away * n / np.maximum(total, 1)
+                    acc[2] = total
+        rows = []
+        for (g, name, size), (count, nan, n, mean, m2) in sums.items():
+            if size <= 0:                                    # a row that stands for vectors without components
+                rows.append((g, name, 0, count, count if size < 0 else 0, 0, 0, 0.0, 0.0))
+            rows += [(g, name, i + 1, count, 0, nan, int(n[i]), float(mean[i]), float(m2[i])) for i in range(max(0, size))]
+        cols = list(zip(*rows, strict=True)) or [[]] * 9
+        types = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 4, pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+                                         names=[x.split()[0] for x in MATRIX_SUMS.split(", ")])
+
+    narrow = df.select(F.col(by).cast("string").alias("grp"), *[F.col(m).cast("array<double>").alias(m) for m in matrices])
+    part = narrow.mapInArrow(run, MATRIX_SUMS)
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))
+    some = part.filter("pos > 0").groupBy("grp", "matrix", "pos").agg(
+        F.sum("rows").alias("with_pos"), F.sum("nan_rows").alias("nan_rows"), n.alias("n"), mean.alias("mean"),
+        F.collect_list(F.struct("n", "mean", "m2")).alias("tasks"))
+    # squared deviations of the tasks' means from the common one, and those inside the tasks
+    dev = F.aggregate("tasks", F.lit(0.0), lambda a, t: a + t["m2"] + t["n"] * (t["mean"] - F.col("mean")) * (t["mean"] - F.col("mean")))
+    none = part.filter("pos = 0").groupBy("grp", "matrix").agg(F.sum("rows").alias("empty"), F.sum("missing").alias("missing"))
+    rows = part.filter("pos <= 1").groupBy("grp", "matrix").agg(F.sum("rows").alias("n_rows"))
+    def attach(left: DataFrame, right: DataFrame, how: str) -> DataFrame:      # a null group is a group
+        other = right.withColumnsRenamed({"grp": "_grp", "matrix": "_matrix"})
+        return left.join(other, left["grp"].eqNullSafe(F.col("_grp")) & (left["matrix"] == F.col("_matrix")), how).drop("_grp", "_matrix")
+
+    out = attach(attach(some, rows, "inner"), none, "left")
+    return out.select(F.col("grp").alias(by), "matrix", "pos", "n_rows", F.coalesce("missing", F.lit(0)).cast("long").alias("n_missing"),
+                      "nan_rows", "n", "mean", F.sqrt(dev / F.nullif(F.col("n"), F.lit(0))).alias("std"))

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recsmith import oracle_sql as O
+from recsmith.functions import vectors as V
 from recsmith.operators import features as FT
 from recsmith.operators import metadata as MD
 from recsmith.operators import pictures as PC
+from recsmith.operators import sequence as SQ
 from recsmith.plans import evaluation as EV
 from recsmith.plans.catalog_features import IMG_POOL_SQL
 from recsmith.registry import register
 from recsmith.sources import ingest as IG
+from recsmith.sources import matrices as MX
 from recsmith.sources import testdata as td
 
 REC = O.records_cte()
@@ -332,6 +335,22 @@ def q_item_detail_lookup(spark, d):
                       "image_url", "avg_rating", "num_reviews")
 
 
+@register("item_detail_point", f"""WITH {REC}, {O.metadata_cte()},
+  asked AS (SELECT min(business_id) AS id FROM md UNION ALL SELECT max(business_id) FROM md UNION ALL SELECT min(business_id) || '_unknown' FROM md)
+  SELECT id AS asked, md.business_id, md.name, md.image_url, round(md.avg_rating, 6) AS avg_rating FROM asked LEFT JOIN md ON business_id = id""")
+def q_item_detail_point(spark, d):
+    """Point lookups (the first id, the last one, an unknown one) in the stored details."""
+    md = MD.first_metadata_per_item(_pics(spark, d, with_name=True))
+    path = MD.store_details(md, IG.scratch_path(spark, "details"))
+    ends = md.agg(F.min("business_id").alias("lo"), F.max("business_id").alias("hi")).first()
+    out = None
+    for item in (ends.lo, ends.hi, None if ends.lo is None else f"{ends.lo}_unknown"):
+        one = spark.createDataFrame([(item,)], "asked string").join(
+            MD.detail_of(spark, path, item or "", md.schema).select("business_id", "name", "image_url", "avg_rating"), F.lit(True), "left")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("join_metadata", f"""WITH {REC}, {O.metadata_cte()},
   pop AS (SELECT business_id, count(*) AS n FROM rec WHERE split = 'train' GROUP BY business_id),
   top AS (SELECT business_id, CAST(row_number() OVER (ORDER BY n DESC, business_id) AS INTEGER) AS rank FROM pop)
@@ -347,3 +366,32 @@ def q_join_metadata(spark, d):
     return ranked.join(md, "business_id", "left").select(
         F.col("rank").cast("int"), "business_id", "name", F.col("image_url").alias("representative_image_url"),
         "avg_rating", "num_reviews")
+
+
+# ---------------------------------------------------------------- matrix files
+
+MATRIX_SQL = """SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, CAST(len(embedding) AS INTEGER) AS dim,
+       round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm,
+       round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings"""
+
+
+@register("sink_matrix", MATRIX_SQL)
+def q_sink_matrix(spark, d):
+    """The embeddings written as a NumPy matrix in the order of their ids, and read back."""
+    path = IG.scratch_path(spark, "matrix")
+    MX.write_matrix(td.table(spark, d, "embeddings"), path, "embedding", ["vec_id"])
+    v = MX.read_matrix(spark, path)
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return v.select("row_id", F.size("vec").alias("dim"), V.l2_norm("vec").alias("norm"), total.alias("total"))
+
+
+@register("scan_matrix", """SELECT e.vec_id, m.row_id, round(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS dot
+  FROM embeddings e JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_id FROM embeddings) m USING (vec_id)""")
+def q_scan_matrix(spark, d):
+    """Rows of a matrix file joined to their keys by position."""
+    path = IG.scratch_path(spark, "matrix")
+    vecs = td.table(spark, d, "embeddings")
+    MX.write_matrix(vecs, path, "embedding", ["vec_id"], dtype="<f8")
+    keys = SQ.dense_index(vecs.select("vec_id"), ["vec_id"], "row_id").withColumn("row_id", F.col("row_id").cast("long"))
+    m = MX.read_matrix(spark, path)
+    return keys.join(m, "row_id").join(vecs, "vec_id").select("vec_id", "row_id", V.dot("vec", "embedding").alias("dot"))

@@ -10,6 +10,8 @@ from recsmith.operators import features as FT
 from recsmith.operators import profile as P
 from recsmith.operators import stats as ST
 from recsmith.operators import topk as TK
+from recsmith.plans import features_build as FB
+from recsmith.plans.catalog_text import DENSE_RAW
 from recsmith.registry import register
 from recsmith.sources import testdata as td
 
@@ -141,6 +143,31 @@ def q_alignment_report(spark, d):
         F.avg("pic_count").alias("pic_count_mean"), F.max("pic_count").cast("long").alias("pic_count_max"))
 
 
+@register("alignment_matrices", f"""WITH {DENSE_RAW},
+  vi AS (SELECT row_id, split, embedding FROM (SELECT e.event_id AS row_id, v.embedding FROM events e
+         JOIN embeddings v ON v.vec_id = e.event_id % (SELECT count(*) FROM embeddings)) JOIN ix USING (row_id)),
+  pv AS (SELECT row_id, split, embedding FROM (SELECT e.event_id AS row_id, v.embedding FROM events e
+         LEFT JOIN embeddings v ON e.event_id % 4 > 0 AND v.vec_id = (e.event_id * 7) % (SELECT count(*) FROM embeddings)) JOIN ix USING (row_id)),
+  lg AS (SELECT split, 'text_emb' AS matrix, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM vi
+         UNION ALL SELECT split, 'img_emb', unnest(embedding)::DOUBLE, unnest(range(1, len(embedding) + 1)) FROM pv
+         UNION ALL SELECT lf.split, 'dense', ((lf.x - fit.m) / fit.s)::FLOAT::DOUBLE, lf.pos FROM lf JOIN fit USING (pos)),
+  n AS (SELECT split, count(*) AS n_rows FROM ix GROUP BY split),
+  gone AS (SELECT split, count(*) FILTER (embedding IS NULL) AS n_missing FROM pv GROUP BY split)
+  SELECT split, matrix, CAST(pos AS INTEGER) AS pos, any_value(n_rows) AS n_rows,
+         CAST(CASE WHEN matrix = 'img_emb' THEN any_value(n_missing) ELSE 0 END AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS nan_rows,
+         count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std
+  FROM lg JOIN n USING (split) JOIN gone USING (split) GROUP BY split, matrix, pos""")
+def q_alignment_matrices(spark, d):
+    """Rows, missing and NaN vectors, and mean and deviation of every component
+    of the text, picture (a row's first) and dense matrices, per split."""
+    n = td.row_count(spark, d, "embeddings")
+    pics = td.picture_vectors(spark, d).select(F.substring("pic_id", 2, 20).cast("long").alias("_v"), F.col("img_vec").alias("img_emb"))
+    slot = F.when(F.col("row_id") % 4 > 0, (F.col("row_id") * 7) % F.lit(n))
+    ix = td.interactions(spark, d, with_vectors=True).withColumn("_v", slot).join(pics, "_v", "left").drop("_v")
+    z, _ = FB.zscored_dense(spark, d)
+    return P.summarize_matrices(ix.join(z.select("row_id", "dense"), "row_id", "left"), "split", ["text_emb", "img_emb", "dense"])
+
+
 @register("row_id_assign", f"""WITH {IX}
   SELECT row_id AS src_row, split, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS row_id FROM ix""")
 def q_row_id_assign(spark, d):
@@ -236,12 +263,15 @@ def q_modality_correlation(spark, d):
                   P.guarded_corr("full_score", "img_only").alias("corr_img"))
 
 
-@register("seeded_sample")
+@register("seeded_sample", f"""WITH {O.ix_cte()},
+  items AS (SELECT DISTINCT business_id FROM ix WHERE business_id IS NOT NULL)
+  SELECT business_id FROM items ORDER BY md5('42:' || business_id), business_id LIMIT 1000""")
 def q_seeded_sample(spark, d, n: int = 1000, seed: int = 42):
     """Repeatable sample without replacement: the n smallest seeded hashes of
-    the id (same rows at any partitioning). Sampling is the feature here."""
+    the id (same rows at any partitioning and in any engine). Sampling is the
+    feature here."""
     items = td.interactions(spark, d).select("business_id").filter(F.col("business_id").isNotNull()).distinct()
-    return items.orderBy(F.xxhash64("business_id", F.lit(seed)), "business_id").limit(n)
+    return items.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "business_id").cast("binary")), "business_id").limit(n)
 
 
 @register("describe_pic_count", f"""WITH {O.ix_cte('pr', pics=True)},

@@ -3,9 +3,13 @@ splits in one pass, candidate selection."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recsmith.models.checkpoints import EpochStore
 from recsmith.operators import metrics as M
 from recsmith.operators import stats as ST
 
@@ -70,3 +74,40 @@ def best_candidate(curve: DataFrame, cand: str, metric: str, minimize: bool = Tr
         best = F.min_by(F.col(cand), F.struct(-F.col(metric), F.col(cand)))
         val = F.max(metric)
     return curve.agg(best.alias(f"best_{cand}"), val.alias(f"best_{metric}"))
+
+
+def _bias_pred(rows: DataFrame, store: EpochStore, epoch: int) -> DataFrame:
+    mu = float(store.load(epoch).state[0])
+    users, items = (store.table(t, epoch).select(k, F.col("bias").alias(f"_{t}")) for t, k in (("users", "user_id"), ("items", "business_id")))
+    j = rows.join(users, "user_id", "left").join(items, "business_id", "left")
+    return j.withColumn("pred", F.lit(mu) + F.coalesce("_users", F.lit(0.0)) + F.coalesce("_items", F.lit(0.0)))
+
+
+def bias_epoch_error(rows: DataFrame, store: EpochStore, epoch: int) -> dict[str, float]:
+    """RMSE of a stored epoch's biases, by split."""
+    e = F.col("pred") - F.col("rating")
+    found = _bias_pred(rows, store, epoch).groupBy("split").agg(F.sqrt(F.avg(e * e)).alias("rmse")).collect()
+    return {r["split"]: r["rmse"] for r in found if r["rmse"] is not None}
+
+
+def fit_bias_epochs(ix: DataFrame, store: EpochStore, epochs: int, rate: float) -> EpochStore:
+    """Bias model by damped steps: in every epoch each bias moves by ``rate`` of
+    its distance to its mean residual. Every epoch is stored (train loss: mean
+    squared error; metric: RMSE on val); a fit that stopped goes on after the
+    last one."""
+    done = store.last()
+    if done is None:
+        mu, users, items = ST.train_stats(ix)
+        start = {"users": users.select("user_id", F.lit(0.0).alias("bias"), F.col("user_bias").alias("aim")),
+                 "items": items.select("business_id", F.lit(0.0).alias("bias"), F.col("item_bias").alias("aim"))}
+        store.save(0, np.array([mu]), 0, math.nan, math.nan, start)
+        done = 0
+    for ep in range(done + 1, epochs + 1):
+        state = store.load(ep - 1).state
+        step = (F.col("bias") + rate * (F.col("aim") - F.col("bias"))).alias("bias")
+        tables = {t: store.table(t, ep - 1).select(k, step, "aim") for t, k in (("users", "user_id"), ("items", "business_id"))}
+        # the metric reads the epoch's tables, and the epoch is complete with its metric: the tables first
+        store.put(ep, state, tables)
+        errors = bias_epoch_error(ix, store, ep)
+        store.finish(ep, ep, errors.get("train", math.nan) ** 2, errors.get("val", math.nan))
+    return store

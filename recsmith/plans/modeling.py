@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recsmith.models import mlp
+from recsmith.models.checkpoints import EpochStore
 from recsmith.operators import features as FT
 from recsmith.plans import features_build as FB
 from recsmith.sources import testdata as td
@@ -34,11 +35,11 @@ def row_features(spark: SparkSession, d: str, with_dense: bool = True) -> DataFr
 
 
 def train_tower(rows: DataFrame, features: str, in_dim: int, epochs: int, seed: int = 42,
-                hidden=TOWER_HIDDEN):
+                hidden=TOWER_HIDDEN, store: EpochStore | None = None):
     cfg = mlp.TrainConfig(hidden=hidden, epochs=epochs, lr=LR, batch=BATCH, dropout=DROPOUT, seed=seed)
     tr = rows.filter(F.col("split") == "train")
     va = rows.filter(F.col("split") == "val").select("row_id", features, F.col("rating").cast("double"))
-    return mlp.fit_mlp(tr, features, "rating", in_dim, cfg, va)
+    return mlp.fit_mlp(tr, features, "rating", in_dim, cfg, va, store=store)
 
 
 def curve_frame(spark: SparkSession, curve: list[tuple], model: str) -> DataFrame:

@@ -16,6 +16,7 @@ from recsmith.operators import metadata as MD
 from recsmith.operators import similarity as SIM
 from recsmith.operators import stats as ST
 from recsmith.operators.topk import rank_within
+from recsmith.session import stored
 from recsmith.sources import testdata as td
 
 # fixed values: request defaults and bounds
@@ -38,7 +39,7 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         F.coalesce(w.getItem("joint_score"), F.lit(DEFAULT_W_JOINT)).cast("double").alias("w_joint"),
         F.coalesce(w.getItem("text_similarity"), F.lit(DEFAULT_W_TEXT)).cast("double").alias("w_text"),
         k.between(MIN_K, MAX_K).cast("int").alias("valid"),
-        *[c for c in requests.columns if c in ("query_emb", "user_id")],
+        *[c for c in requests.columns if c in ("query_emb", "user_id", "user_half")],
     )
 
 
@@ -59,7 +60,7 @@ def item_table(ix_vec: DataFrame, base: DataFrame, mu: float) -> DataFrame:
 def one_per_id(requests: DataFrame) -> DataFrame:
     """One request per query_id: equal requests are answered once, and of
     requests that share an id the first in the order of their fields counts."""
-    order = [F.col(c).asc() for c in ("query_text", "k", "w_joint", "w_text", "query_emb") if c in requests.columns]
+    order = [F.col(c).asc() for c in ("query_text", "k", "w_joint", "w_text", "query_emb", "user_id") if c in requests.columns]
     return rank_within(requests, ["query_id"], order, 1, "_nth").drop("_nth")
 
 
@@ -70,21 +71,24 @@ def rejected(requests: DataFrame) -> DataFrame:
 
 
 def rank_requests(items: DataFrame, requests: DataFrame, n_items: int | None = None,
-                  n_queries: int | None = None) -> DataFrame:
+                  n_queries: int | None = None, base: SIM.Base | None = None, dim: int | None = None) -> DataFrame:
     """Ranked items of each valid request: ranked to MAX_K first (a constant
     bound, so every map task sends at most MAX_K rows of a query), then each
-    request's own k is joined to the ranks."""
+    request's own k is joined to the ranks. ``base``: base scores that depend on
+    the request, from extra columns of both tables."""
     req = one_per_id(validate_requests(requests).filter(F.col("valid") == 1))
-    q = req.select("query_id", F.col("query_emb").alias("qvec"), "w_joint", "w_text")
-    cands = SIM.similarity_topk(items, q, MAX_K, n_items=n_items, n_queries=n_queries)
+    extra = base.query_cols if base else ()
+    q = req.select("query_id", F.col("query_emb").alias("qvec"), "w_joint", "w_text", *extra)
+    cands = SIM.similarity_topk(items, q, MAX_K, n_items=n_items, n_queries=n_queries, base=base, dim=dim)
     ranked = SIM.rank_candidates(cands, None, MAX_K, MAX_K)
     return ranked.join(req.select("query_id", "k"), "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
 
 
 def recommend(items: DataFrame, requests: DataFrame, metadata: DataFrame,
-              n_items: int | None = None, n_queries: int | None = None) -> DataFrame:
+              n_items: int | None = None, n_queries: int | None = None, base: SIM.Base | None = None,
+              dim: int | None = None) -> DataFrame:
     """items(business_id, vec, base) x requests(query_id, k, weights, query_emb)."""
-    ranked = rank_requests(items, requests, n_items, n_queries)
+    ranked = rank_requests(items, requests, n_items, n_queries, base, dim)
     md = metadata.select("business_id", "name", F.col("image_url").alias("representative_image_url"),
                          "avg_rating", "num_reviews")
     return ranked.join(md, "business_id", "left").select(
@@ -94,11 +98,12 @@ def recommend(items: DataFrame, requests: DataFrame, metadata: DataFrame,
 
 
 def items_testdata(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """Item table and its size. Base scores come from the plain interactions, so
-    the statistics never touch the vectors."""
+    """Item table, written once (its size, the length of its vectors and the
+    ranking read it), and its size. Base scores come from the plain interactions,
+    so the statistics never touch the vectors."""
     base, mu = item_base_scores(td.interactions(spark, sf_dir))
-    n = td.interactions(spark, sf_dir).select("business_id").filter("business_id is not null").distinct().count()
-    return item_table(td.interactions(spark, sf_dir, with_vectors=True), base, mu), n
+    items = stored(item_table(td.interactions(spark, sf_dir, with_vectors=True), base, mu), "items")
+    return items, items.count()
 
 
 def recommend_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:

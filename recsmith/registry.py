@@ -24,6 +24,7 @@ CATALOG_MODULES = [
     "recsmith.plans.catalog_profile",
     "recsmith.plans.catalog_present",
     "recsmith.plans.catalog_models",
+    "recsmith.plans.catalog_joint",
 ]
 
 

@@ -206,6 +206,22 @@ def query_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# fixed values: requests without a user and with an unknown one, by vec_id % 10
+NO_USER_REM, UNKNOWN_USER_REM = 0, 1
+
+
+def user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests with the text of a benchmark item (``query_text``) and a
+    user: (query_id, query_text, k, weights, query_emb, user_id)."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("_text"))
+    n = row_count(spark, sf_dir, "benchmark")
+    q = query_requests(spark, sf_dir).withColumn("_item", F.col("query_id") % F.lit(n)).join(items, "_item", "left")
+    rem = F.col("query_id") % 10
+    user = F.when(rem == NO_USER_REM, F.lit(None)).when(rem == UNKNOWN_USER_REM, F.lit("nobody")).otherwise(
+        F.concat(F.lit("u"), F.col("query_id").cast("string")))
+    return q.select("query_id", F.col("_text").alias("query_text"), "k", "weights", "query_emb", user.alias("user_id"))
+
+
 def item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("business_id"),

@@ -281,3 +281,47 @@ def test_split_dump_object(spark, tmp_path):
     p2.write_text(json.dumps({"train": [rec], "val": []}))
     with pytest.raises(KeyError):
         IG.scan_split_dump(spark, str(p2))
+
+
+def test_point_lookup_prunes_files_and_row_groups(spark):
+    """A lookup reads one bucket, with the id pushed to the files; no aggregate."""
+    import io
+    import contextlib
+    import tempfile
+    from recsmith.operators import metadata as MD
+    md = spark.createDataFrame([(f"b{i}", f"n{i}", None, float(i % 5), None) for i in range(500)],
+                               "business_id string, name string, image_url string, avg_rating double, num_reviews long")
+    path = MD.store_details(md, tempfile.mkdtemp(prefix="details-"), buckets=8)
+    assert [r.name for r in MD.detail_of(spark, path, "b77", md.schema, 8).collect()] == ["n77"]
+    assert MD.detail_of(spark, path, "x", md.schema, 8).collect() == []
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        MD.detail_of(spark, path, "b77", md.schema, 8).explain("formatted")
+    plan = out.getvalue()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(business_id,b77)" in plan and "Aggregate" not in plan and "Exchange" not in plan
+    assert len(MD.detail_of(spark, path, "b77", md.schema, 8).inputFiles()) >= 1
+
+
+def test_matrix_summary_against_numpy(spark):
+    """Moments, missing and NaN rows of vector columns, whatever the number of tasks."""
+    import numpy as np
+    from recsmith.operators import profile as P
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        a = (1e6 + rng.standard_normal(3)).tolist()
+        if i % 17 == 0:
+            a[i % 3] = float("nan")
+        rows.append((["x", "y", None][i % 3], None if i % 11 == 0 else a, [float(i)] if i % 5 else []))
+    df = spark.createDataFrame(rows, "split string, a array<float>, b array<double>").repartition(7)
+    got = {(r.split, r.matrix, r.pos): r for r in P.summarize_matrices(df, "split", ["a", "b"]).collect()}
+    assert len(got) == 3 * (3 + 1)
+    for g in ("x", "y", None):
+        mine = [r for r in rows if r[0] == g]
+        m = np.array([np.float32(r[1]) for r in mine if r[1] is not None], float)
+        for p in range(3):
+            r, v = got[g, "a", p + 1], m[:, p]
+            assert (r.n_rows, r.n_missing, r.nan_rows, r.n) == (len(mine), sum(x[1] is None for x in mine), int(np.isnan(m).any(1).sum()), int((~np.isnan(v)).sum()))
+            assert abs(r["mean"] - np.nanmean(v)) < 1e-6 and abs(r["std"] - np.nanstd(v)) < 1e-6
+        b = np.array([x[2][0] for x in mine if x[2]])
+        assert (got[g, "b", 1].n_rows, got[g, "b", 1].n) == (len(mine), len(b)) and abs(got[g, "b", 1]["std"] - b.std()) < 1e-9
