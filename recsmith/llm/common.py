@@ -24,6 +24,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken or any(c.startswith(n.lower()) for c in taken):
+            n += "_"
+        out.append(n)
+    return out
+
+
 def text_key(text: Column) -> Column:
     """64-bit key of a text; used next to the document id, so that rows that
     share an id but not a text stay apart."""

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recsmith.llm.common import materialize, text_key
+from recsmith.llm.common import materialize, text_key, unused
 
 SPAN = 13
 K, W = 8, 6
@@ -143,8 +143,9 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", id_
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns."""
+    id_name, key_name = unused(docs, "_decontam_id", "_decontam_key")
     bad = (contamination(docs, items).filter("contaminated")
-           .select(F.col("_id").alias("_decontam_id"), F.col("_key").alias("_decontam_key")).distinct())
+           .select(F.col("_id").alias(id_name), F.col("_key").alias(key_name)).distinct())
     bad = materialize(bad, "contaminated")
-    mine = (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_decontam_id")) & (text_key(docs["text"]) == F.col("_decontam_key"))
+    mine = (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col(id_name)) & (text_key(docs["text"]) == F.col(key_name))
     return docs.join(bad, mine, "left_anti")

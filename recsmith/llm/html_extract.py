@@ -81,6 +81,7 @@ def _read(page: str, labelled: bool, skip: dict[int, int], closed: dict[int, int
     nodes = [Node("#root", -1, [], None)]
     stack: list[tuple[str, int]] = [("#root", 0)]       # open elements: tag, nearest block node
     run: list[str] = []
+    count: dict[str, int] = {}           # open elements of each tag: an end tag without one costs no search
     opened: list[int] = []               # ends of the start tags of the open DROPPED elements
     endless: set[str] = set()            # raw-text elements that no end tag follows
     links = anchors = drawings = 0
@@ -102,6 +103,7 @@ def _read(page: str, labelled: bool, skip: dict[int, int], closed: dict[int, int
         if any(t not in INLINE and t not in DROPPED for t, _ in stack[k:]):
             flush()
         for t, _ in stack[k:]:
+            count[t] -= 1
             anchors -= t == "a"
             drawings -= t == "svg"
         del opened[len(opened) - sum(t in DROPPED for t, _ in stack[k:]):]
@@ -133,7 +135,7 @@ def _read(page: str, labelled: bool, skip: dict[int, int], closed: dict[int, int
         if m[1]:
             if tag == "br":
                 run.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if count.get(tag) else ():
                 if stack[k][0] == tag:
                     if tag in DROPPED:
                         closed[opened[-1 - sum(t in DROPPED for t, _ in stack[k + 1:])]] = pos
@@ -158,6 +160,7 @@ def _read(page: str, labelled: bool, skip: dict[int, int], closed: dict[int, int
                 pos = skip[pos]
             elif not m[3].endswith("/>"):
                 stack.append((tag, stack[-1][1]))
+                count[tag] = count.get(tag, 0) + 1
                 opened.append(pos)
                 drawings += tag == "svg"
             continue
@@ -169,7 +172,7 @@ def _read(page: str, labelled: bool, skip: dict[int, int], closed: dict[int, int
                 flush()
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if count.get("p") else ():
                 if stack[k][0] == "p":
                     pop_to(k)
                     break
@@ -177,7 +180,7 @@ def _read(page: str, labelled: bool, skip: dict[int, int], closed: dict[int, int
                     break
         if tag in SIBLINGS:
             lowest = None
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(count.get(t) for t in SIBLINGS[tag]) else ():
                 if stack[k][0] in SCOPE[tag]:
                     break
                 if stack[k][0] in SIBLINGS[tag]:
@@ -205,6 +208,7 @@ def _read(page: str, labelled: bool, skip: dict[int, int], closed: dict[int, int
             block = len(nodes) - 1
         if not m[3].endswith("/>") or tag not in INLINE:
             stack.append((tag, block))
+            count[tag] = count.get(tag, 0) + 1
     stack[1:] and pop_to(1)
     flush()
     return nodes

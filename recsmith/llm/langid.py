@@ -34,7 +34,12 @@ WINDOW = 256
 #: many languages LEAST_ROWS of each), windows of a row.
 ROWS_PER_LANG, TRAIN_ROWS, LEAST_ROWS, TRAIN_WINDOWS = 600, 38_400, 8, 8
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str | None) -> bool:
+    r"""Whether a text has a letter (\p{L}): number signs such as ½, ² or Ⅷ are none."""
+    return bool(text) and any(any(map(str.isalpha, m.group())) for m in _WORDLIKE.finditer(text))
 
 
 def split_of(doc_id: Column) -> Column:
@@ -140,7 +145,7 @@ class Predictor:
 
     def texts(self, texts: list[str | None], group: int = 1 << 22) -> tuple[list[str], list[float]]:
         lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        known = [i for i, t in enumerate(texts) if t and self.net.langs and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if self.net.langs and has_letter(t)]
         k = 0
         while k < len(known):            # groups of about 4 MB of windows; one long text may be more
             parts, size, first = [], 0, k
@@ -216,7 +221,7 @@ def accepted(text: Column, net: Network, least: float) -> Column:
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
         if not net.langs:
-            return pd.Series([bool(t) and bool(_LETTER.search(t)) for t in texts])
+            return pd.Series([has_letter(t) for t in texts])
         if not holder:
             holder.append(Predictor(net))
         lang, score = holder[0].texts(texts.tolist())

@@ -29,7 +29,8 @@ Words are runs of non-space characters, lower-cased. Texts under five words are
 one shingle; a null text or one without words is a class of its own. Repeated
 rows are exact copies; a null id sorts first and takes part like any other.
 Ties do not occur: ids order documents, and rows that share an id and a text are
-interchangeable.
+interchangeable. Other columns may have any names; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recsmith.llm.common import components, materialize, text_key
+from recsmith.llm.common import components, materialize, text_key, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -313,8 +314,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
 
 def _texts_of(rows: DataFrame, leads: DataFrame) -> DataFrame:
     """uid, text of the given (doc_id, key) pairs."""
-    near = leads.select("uid", F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("key").alias("_key"))
-    both = rows.join(near, (F.coalesce(rows["doc_id"], F.lit(-1)) == F.col("_id")) & (rows["key"] == F.col("_key")))
+    near = leads.select("uid", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    both = rows.join(near, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["key"] == F.col("_key")))
     return both.select("uid", "text")
 
 
@@ -323,13 +324,13 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     share an id and a text one stays. The texts move once, joined to the narrow
     list of rows that go."""
     found = materialize(classes(docs, similarity, id_col, text_col), "minhash-members")
-    key = [F.coalesce("doc_id", F.lit(-1)).alias("_minhash_id"), F.col("key").alias("_minhash_key")]
+    id_name, key_name = unused(docs, "_minhash_id", "_minhash_key")
+    key = [F.col("doc_id").alias(id_name), F.col("key").alias(key_name)]
     gone = found.filter(~F.col("representative")).select(*key)
     again = materialize(found.filter("representative and n_class > 1").groupBy(*key).count().filter("count > 1").drop("count"), "minhash-repeated")
 
     def mine(d: DataFrame) -> Column:
-        return ((F.coalesce(d[f"`{id_col}`"].cast("long"), F.lit(-1)) == F.col("_minhash_id"))
-                & (text_key(d[f"`{text_col}`"]) == F.col("_minhash_key")))
+        return d[f"`{id_col}`"].cast("long").eqNullSafe(F.col(id_name)) & (text_key(d[f"`{text_col}`"]) == F.col(key_name))
 
     if again.isEmpty():
         return docs.join(gone.distinct(), mine(docs), "left_anti")
