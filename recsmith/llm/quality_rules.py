@@ -1,24 +1,30 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Every rule is a ratio per text (higher is worse), put into ``BINS`` equal bins.
-Labelled rows are the holdout: for each stratum (language) and rule, cutoffs are
-tested from the loosest to the tightest, and a cutoff is certified while the
-exact binomial bound says that it rejects at most ``risk / rules`` of the clean
-rows: P(Binomial(clean rows, risk / rules) <= clean rows rejected) must be
-``delta / (strata * rules)`` at most. Testing in that fixed order and dividing
-delta by strata and rules keeps the chance of any wrong certificate under
-``delta``; the rules' risks add up to ``risk`` at most. Of the certified
-cutoffs of a rule the one is taken that rejects the most bad rows, clean ones
-counting ``CLEAN_WEIGHT`` times; a rule that gains nothing that way, or a
-stratum with too few labelled rows, rejects nothing.
-
-The counts cover all labelled rows; what reaches the driver is one row per
-stratum and rule: (MAX_STRATA + 1) * number of rules at most.
+Every language is a stratum. Labelled rows are dealt by a hash of their id into
+a design part (a third) and a holdout. The design part proposes, for each
+stratum and rule, the cutoff that rejects the most bad rows, clean ones counting
+``CLEAN_WEIGHT`` times, and orders a stratum's rules by that gain. So a path is
+fixed before the holdout is looked at: first the best rule alone, then the best
+two together, and so on. The holdout certifies steps of the path while the exact
+binomial bound says that all rules of the step together reject at most ``risk``
+of the clean rows: P(Binomial(clean rows, risk) <= clean rows rejected) must be
+``delta / strata`` at most, where ``strata`` counts the languages with enough
+clean holdout rows to pass at all (a number that does not depend on any result).
+Testing in a fixed order needs no further correction (a step can only follow
+certified ones), and dividing delta by the strata keeps the chance of any wrong
+certificate in any language under ``delta``. The last certified step's rules
+reject; a language without one rejects nothing beyond the base rules.
+
+The counts cover all labelled rows. Cutoffs are a table (a row per language with
+a certified step) that is joined to the rows; the driver gets one number.
 
 Defined results: null text has no words and fails the base rules (as any text
-under 50 words); ties at a cutoff reject; a document whose labels disagree is
-not clean; null and repeated ids are judged row by row; an empty table gives an
-empty table; without labels only the base rules reject.
+under 50 words); a null language is the stratum of the empty one; ties at a
+cutoff reject, ties of gain go to the higher cutoff and the earlier rule; a
+document whose labels disagree is not clean; null and repeated ids are judged
+row by row; texts are read whole; other columns may have any names; an empty
+table gives an empty table; without labels only the base rules reject.
 """
 
 from __future__ import annotations
@@ -28,13 +34,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recsmith.llm.common import materialize
+from recsmith.llm.common import materialize, unused
 
 WS = " \t\n\x0b\f\r"
 BINS = 200
-MAX_STRATA = 16
 CLEAN_WEIGHT = 5.0
-OTHER = "other"
 
 #: Ratios, by rule: numerator, denominator (columns of ``measure``).
 RULES = {
@@ -113,57 +117,50 @@ def most_rejected(n: Column, risk: float, delta: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), last).cast("long")), start, step)["best"]).otherwise(-1)
 
 
-def fit(measured: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str, list[int | None]]:
-    """Cutoff bins by stratum, in the order of RULES (None: the rule rejects
-    nothing). ``measured``: doc_id, lang, base_failed, bins."""
+def is_design(doc_id: Column) -> Column:
+    """Whether a labelled row designs the path (a third of them) or certifies it."""
+    return F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 3 == 0
+
+
+def fit(measured: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
+    """(stratum, cuts): the certified rules of a language, as an array of structs
+    (step, rule, bin); ``rule`` counts RULES from 0. ``measured``: doc_id, lang,
+    base_failed, bins."""
+    import math
+
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("quality"))
-    rows = (measured.filter(~F.col("base_failed")).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "bins")
-            .join(marks, "doc_id").groupBy("lang", "quality", "bins").count())
+    rows = (measured.filter(~F.col("base_failed")).select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), "bins")
+            .join(marks, "doc_id").groupBy("stratum", is_design(F.col("doc_id")).alias("design"), "bins").agg(
+                F.sum((F.col("quality") >= 1).cast("long")).alias("clean"), F.sum((F.col("quality") < 1).cast("long")).alias("bad")))
     rows = materialize(rows, "quality-counts")
-    common = [r.lang for r in rows.groupBy("lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang")
-              .limit(MAX_STRATA).collect()]
-    if not common:
-        return {}
-    stratum = F.when(F.col("lang").isin(common), F.col("lang")).otherwise(OTHER)
-    hist = (rows.select(stratum.alias("stratum"), "quality", "count", F.posexplode("bins").alias("rule", "bin"))
-            .groupBy("stratum", "rule", "bin").agg(
-                F.sum(F.when(F.col("quality") >= 1, F.col("count")).otherwise(0)).alias("clean"),
-                F.sum(F.when(F.col("quality") < 1, F.col("count")).otherwise(0)).alias("bad")))
+    hist = (rows.filter("design").select("stratum", "clean", "bad", F.posexplode("bins").alias("rule", "bin"))
+            .groupBy("stratum", "rule", "bin").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")))
     # a row for each stratum, rule and bin at most: a window's group has BINS + 1 rows
     above = Window.partitionBy("stratum", "rule").orderBy(F.desc("bin"))
-    whole = Window.partitionBy("stratum", "rule")
-    strata = len(common) + 1
-    tested = (hist.select("*", F.sum("clean").over(above).alias("k"), F.sum("bad").over(above).alias("b"),
-                          F.sum("clean").over(whole).alias("n")).filter("bin > 0")
-              .select("*", (F.col("b") - CLEAN_WEIGHT * F.col("k")).alias("gain")))
-    limit = (tested.select("stratum", "n").distinct()
-             .select("stratum", most_rejected(F.col("n"), risk.risk / len(RULES),
-                                              F.lit(risk.delta / (strata * len(RULES)))).alias("most")))
-    best = (tested.join(limit, "stratum").filter("k <= most and gain > 0")
-            .groupBy("stratum", "rule").agg(F.max(F.struct("gain", "bin")).alias("x")).collect())
-    cuts: dict[str, list[int | None]] = {s: [None] * len(RULES) for s in [*common, OTHER]}
-    for r in best:
-        cuts[r.stratum][r.rule] = r.x.bin
-    return cuts
-
-
-def rejected(bins_col: Column, lang: Column, cuts: dict[str, list[int | None]]) -> Column:
-    """Whether any rule of the row's stratum rejects it."""
-    def of(cut: list[int | None]) -> Column:
-        out = F.lit(False)
-        for i, c in enumerate(cut):
-            if c is not None:
-                out = out | (F.get(bins_col, F.lit(i)) >= c)
-        return out
-    if not cuts:
-        return F.lit(False)
-    lang = F.coalesce(lang, F.lit(""))
-    names = [s for s in cuts if s != OTHER]
-    out = F.when(~lang.isin(names), of(cuts[OTHER]))
-    for s in names:
-        out = out.when(lang == s, of(cuts[s]))
-    return F.coalesce(out, F.lit(False))
+    gain = (F.sum("bad").over(above) - CLEAN_WEIGHT * F.sum("clean").over(above)).alias("gain")
+    best = (hist.select("stratum", "rule", "bin", gain).filter("bin > 0 and gain > 0")
+            .groupBy("stratum", "rule").agg(F.max(F.struct("gain", "bin")).alias("x")))
+    step = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("x.gain"), "rule"))
+    path = best.select("stratum", step.alias("step"), "rule", "x.bin").groupBy("stratum").agg(
+        F.sort_array(F.collect_list(F.struct("step", "rule", "bin"))).alias("path"))     # a row per rule at most
+
+    first = F.array_min(F.transform("path", lambda p: F.when(F.get("bins", p["rule"]) >= p["bin"], p["step"])))
+    steps = range(1, len(RULES) + 1)
+    held = (rows.filter("not design").join(path, "stratum", "left").select("stratum", "clean", first.alias("first")).groupBy("stratum").agg(
+        F.sum("clean").alias("n"), *[F.sum(F.when(F.col("first") <= j, F.col("clean")).otherwise(0)).alias(f"k{j}") for j in steps]))
+    held = materialize(held, "quality-holdout")
+    strata = held.filter(F.col("n") * math.log1p(-risk.risk) <= math.log(risk.delta)).count()
+    most = held.select("*", most_rejected(F.col("n"), risk.risk, F.lit(risk.delta / max(1, strata))).alias("most"))
+    # a later step rejects no less: the certified ones are a prefix
+    last = most.select("stratum", sum(((F.col(f"k{j}") <= F.col("most")).cast("int") for j in steps), F.lit(0)).alias("last"))
+    cuts = last.join(path, "stratum").select("stratum", F.filter("path", lambda p: p["step"] <= F.col("last")).alias("cuts"))
+    return materialize(cuts.filter(F.size("cuts") > 0), "quality-cuts")
+
+
+def rejected(bins_col: Column, cuts: Column) -> Column:
+    """Whether any of the certified rules rejects a row with these bins."""
+    return F.coalesce(F.exists(cuts, lambda c: F.get(bins_col, c["rule"]) >= c["bin"]), F.lit(False))
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -181,15 +178,18 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     judged from there."""
     rows = materialize(measured_rows(docs), "quality-measured")
     cuts = fit(rows, labels, risk)
-    return rows.select("doc_id", *COUNTS, "base_failed",
-                       (~F.col("base_failed") & ~rejected(F.col("bins"), F.col("lang"), cuts)).alias("kept"))
+    both = rows.join(cuts, F.coalesce("lang", F.lit("")) == F.col("stratum"), "left")
+    return both.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~rejected(F.col("bins"), F.col("cuts"))).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns. The texts are measured
-    twice, for the fit and for the verdict, and never shuffled."""
+    twice, for the fit and for the verdict; the cutoffs join them (a row per
+    language: the planner sends them to the texts, which stay where they are)."""
     cuts = fit(materialize(measured_rows(docs), "quality-measured"), labels, risk)
+    p, stratum, cut, row = unused(docs, "_quality_", "_cut_stratum", "_cut_rules", "_cut_row")
     # the row number keeps the filter above the measures: pushed to the scan, they would be computed once per use
-    d = measure(docs, "text", prefix="_quality_").withColumn("_quality_row", F.monotonically_increasing_id())
-    ok = ~base_failed("_quality_") & ~rejected(bins("_quality_"), F.col("lang"), cuts) & (F.col("_quality_row") >= 0)
+    d = measure(docs, "text", prefix=p).withColumn(row, F.monotonically_increasing_id())
+    d = d.join(cuts.select(F.col("stratum").alias(stratum), F.col("cuts").alias(cut)), F.coalesce(d["lang"], F.lit("")) == F.col(stratum), "left")
+    ok = ~base_failed(p) & ~rejected(bins(p), F.col(cut)) & (F.col(row) >= 0)
     return d.filter(ok).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -63,30 +63,30 @@ f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_fa
       FROM m),
 marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 lab AS (SELECT f.*, quality FROM f JOIN marks USING (doc_id) WHERE NOT base_failed),
-common AS (SELECT lang FROM lab GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {max_strata}),
-hist AS (SELECT CASE WHEN lang IN (SELECT lang FROM common) THEN lang ELSE '{other}' END AS stratum, r AS rule,
-                bins[r]::BIGINT AS bin, sum((quality >= 1)::INT) AS clean, sum((quality < 1)::INT) AS bad
-         FROM lab, (SELECT unnest([1, 2, 3, 4, 5]) AS r) GROUP BY ALL),
-tested AS (SELECT *, sum(clean) OVER a AS k, sum(bad) OVER a AS b, sum(clean) OVER (PARTITION BY stratum, rule) AS n
-           FROM hist WINDOW a AS (PARTITION BY stratum, rule ORDER BY bin DESC)),
-sizes AS (SELECT DISTINCT stratum, n FROM tested WHERE n > 0),
-terms AS (SELECT stratum, n, i, exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0)
-                 + i * ln({risk}) + (n - i) * ln(1 - {risk})) AS p
-          FROM (SELECT stratum, n::DOUBLE AS n, unnest(range(0, n::BIGINT)) AS i FROM sizes)),
-lim AS (SELECT stratum, max(i) AS most FROM (
-          SELECT stratum, i, sum(p) OVER (PARTITION BY stratum ORDER BY i) AS cdf FROM terms)
-        WHERE cdf <= {delta} / (((SELECT count(*) FROM common) + 1) * 5) GROUP BY stratum),
-gain AS (SELECT tested.*, b - {clean_weight} * k AS gain FROM tested JOIN lim USING (stratum)
-         WHERE bin > 0 AND k <= most AND b - {clean_weight} * k > 0),
-cuts AS (SELECT stratum, rule, bin FROM gain
+lab2 AS (SELECT lang AS stratum, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 3 = 0 AS design, bins,
+                (quality >= 1)::INT AS clean, (quality < 1)::INT AS bad, doc_id FROM lab),
+hist AS (SELECT stratum, r - 1 AS rule, bins[r]::BIGINT AS bin, sum(clean) AS clean, sum(bad) AS bad
+         FROM lab2, (SELECT unnest([1, 2, 3, 4, 5]) AS r) WHERE design GROUP BY ALL),
+gain AS (SELECT *, sum(bad) OVER a - {clean_weight} * sum(clean) OVER a AS gain FROM hist
+         WINDOW a AS (PARTITION BY stratum, rule ORDER BY bin DESC)),
+best AS (SELECT stratum, rule, bin, gain FROM gain WHERE bin > 0 AND gain > 0
          QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, bin DESC) = 1),
-bad AS (SELECT DISTINCT doc_id FROM f JOIN cuts
-        ON stratum = CASE WHEN lang IN (SELECT lang FROM common) THEN lang ELSE '{other}' END AND bins[rule] >= cuts.bin)
+path AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rule) AS step FROM best),
+held AS (SELECT stratum, count(*) FILTER (clean = 1) AS n FROM lab2 WHERE NOT design GROUP BY stratum),
+firsts AS (SELECT doc_id, min(step) AS first FROM lab2 JOIN path USING (stratum) WHERE NOT design AND clean = 1 AND bins[rule + 1] >= path.bin GROUP BY doc_id),
+k AS (SELECT path.stratum, path.step, count(firsts.doc_id) AS k FROM path
+      LEFT JOIN (firsts JOIN lab2 USING (doc_id)) ON lab2.stratum = path.stratum AND first <= step GROUP BY ALL),
+strata AS (SELECT count(*) AS s FROM held WHERE n * ln(1 - {risk}) <= ln({delta})),
+terms AS (SELECT stratum, i, exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({risk}) + (n - i) * ln(1 - {risk})) AS p
+          FROM (SELECT stratum, n::DOUBLE AS n, unnest(range(0, n::BIGINT)) AS i FROM held WHERE n > 0)),
+lim AS (SELECT stratum, max(i) AS most FROM (SELECT stratum, i, sum(p) OVER (PARTITION BY stratum ORDER BY i) AS cdf FROM terms)
+        WHERE cdf <= {delta} / greatest(1, (SELECT s FROM strata)) GROUP BY stratum),
+cuts AS (SELECT path.* FROM path JOIN k USING (stratum, step) JOIN lim USING (stratum) WHERE k <= most),
+bad AS (SELECT DISTINCT doc_id FROM f JOIN cuts ON lang = stratum AND bins[rule + 1] >= cuts.bin)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad)) AS kept
 FROM f
-""".format(bins=quality_rules.BINS, max_strata=quality_rules.MAX_STRATA, other=quality_rules.OTHER,
-           risk=quality_rules.Risk().risk / len(quality_rules.RULES), delta=quality_rules.Risk().delta,
+""".format(bins=quality_rules.BINS, risk=quality_rules.Risk().risk, delta=quality_rules.Risk().delta,
            clean_weight=quality_rules.CLEAN_WEIGHT)
 
 
