@@ -16,11 +16,13 @@ need no padding.
 Defined results: null text counts as empty and gives the closing id alone; a
 null doc_id is kept as null; repeated rows are packed each on their own; an
 empty table gives an empty table; ties of the heuristic go to the piece that
-came first; other input columns are ignored.
+came first; texts of any length are packed whole; other input columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,10 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "sequence_id bigint, offset bigint, loss_tokens bigint")
 
 
+#: Characters of the texts whose distinct chunks are looked up together.
+GROUP_CHARS = 4_000_000
+
+
 @dataclass(frozen=True)
 class Limits:
     """Limits of one sequence."""
@@ -43,66 +50,111 @@ class Limits:
     loss: int = 2048
 
 
+def byte_level() -> dict[int, str]:
+    """Characters by which a byte-level vocabulary writes the bytes of a text:
+    printable ones of Latin-1 stand for themselves, the others for 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokenizer:
     """Ids of whole texts with a word-level BPE file of `tokenizers`.
 
     The tokenizer lower-cases, splits at white space and between letter runs,
     digits and other runs, and encodes every run on its own, so the ids of a
-    white-space delimited chunk do not depend on its neighbours: they are kept
-    per chunk. Texts with characters outside the plain ranges below go through
-    the tokenizer whole.
+    white-space delimited chunk do not depend on its neighbours. A batch of
+    texts is split into chunks by Arrow, its distinct chunks are looked up or
+    learnt once, and the ids of all places are gathered from one array. What is
+    remembered (chunks, runs and ids) stays within ``keep`` bytes. Texts with
+    characters outside the plain ranges below go through the tokenizer whole.
     """
 
     # printable ASCII, tab and line ends, Latin letters without special case rules
     _ODD = re.compile("[^\t\n\r\x20-\x7eÀ-įı-ž]")
     _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ž]+|[0-9]|[^\\sa-z0-9À-ÖØ-öø-ž]+")
 
-    def __init__(self, path: str, keep: int = 1_400_000):
+    def __init__(self, path: str, keep: int = 192 << 20):
         from tokenizers import Tokenizer
         self.tk = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u4" if self.tk.get_vocab_size() > 65_536 else "<u2")
-        self.keep = keep                     # chunks and runs remembered at most
-        self.known: dict[str, bytes] = {}
+        self.keep, table = keep, byte_level()
+        # the characters of the plain ranges beyond ASCII, as the vocabulary writes their bytes
+        self.spelled = {c: "".join(table[b] for b in chr(c).encode()) for c in range(0x80, 0x180)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}           # chunk or run: its place in start and length
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.ids, self.used = np.zeros(1 << 18, self.dtype), 0
+
+    def _size(self) -> int:
+        """Bytes remembered: about 160 for a chunk besides its ids."""
+        return 160 * len(self.known) + self.ids.nbytes + self.start.nbytes + self.length.nbytes
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tk.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn_runs(self, runs: list[str]) -> None:
-        """Encodes many runs as the words of a few texts."""
-        for k in range(0, len(runs), 4000):
-            part = runs[k:k + 4000]
-            e = self.tk.encode(" ".join(part), add_special_tokens=False)
-            word = np.asarray(e.word_ids, dtype=np.int64)
-            ids, cut = np.asarray(e.ids, dtype=self.dtype), np.searchsorted(word, np.arange(len(part) + 1))
-            if len(word) and word[-1] == len(part) - 1 and (np.diff(cut) > 0).all():
-                raw, width = ids.tobytes(), self.dtype.itemsize
-                at = (cut * width).tolist()
-                self.known.update((r, raw[i:j]) for r, i, j in zip(part, at, at[1:], strict=False))
-            else:
-                self.known.update((r, self._whole(r)) for r in part)
+    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at many places one after the other, and where each ends."""
+        start, ends = self.start[place], np.cumsum(self.length[place], dtype=np.int64)
+        first = start - ends + self.length[place]
+        return self.ids[np.repeat(first, self.length[place]) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _keep(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """Remembers the ids of names, one after the other."""
+        n = len(self.known)
+        while n + len(names) > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.start[n:n + len(names)] = self.used + np.cumsum(size) - size
+        self.length[n:n + len(names)] = size
+        self.used += len(ids)
+        self.known.update(zip(names, range(n, n + len(names)), strict=True))
 
     def _learn(self, new: list[str]) -> None:
-        parts = [self._PIECE.findall(c) for c in new]
-        self._learn_runs(list({p for ps in parts for p in ps if p not in self.known}))
-        get = self.known.__getitem__
-        for c, ps in zip(new, parts, strict=True):
-            if len(ps) > 1:
-                self.known[c] = b"".join(map(get, ps))
+        """Runs are encoded, chunks of several runs put together from them."""
+        pieces, tokenize, spelled = self._PIECE.findall, self.tk.model.tokenize, self.spelled
+        mixed = [c for c in new if not c.isalpha()]
+        parts = [pieces(c) for c in mixed]
+        runs = {c for c in new if c.isalpha()}
+        runs.update(p for ps in parts for p in ps if p not in self.known)
+        names = list(runs)
+        found = [[t.id for t in tokenize(r if r.isascii() else r.translate(spelled))] for r in names]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self._keep(names, np.fromiter(itertools.chain.from_iterable(found), self.dtype, int(size.sum())), size)
+        several = [(c, ps) for c, ps in zip(mixed, parts, strict=True) if c not in self.known]
+        if several:
+            known, count = self.known.__getitem__, [len(ps) for _, ps in several]
+            ids, ends = self._gather(np.fromiter((known(p) for _, ps in several for p in ps), np.int64, sum(count)))
+            cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
+            self._keep([c for c, _ in several], ids, np.diff(cut))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        plain = [None if self._ODD.search(t) else t.lower().split() for t in texts]
-        words = set().union(*(w for w in plain if w))
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        get = self.known.__getitem__
-        return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, plain, strict=True)]
+        if self._size() > self.keep:
+            self._forget()
+        odd = [bool(self._ODD.search(t)) for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([t.lower() for t, o in zip(texts, odd, strict=True) if not o], pa.large_string()))
+        chunks = split.flatten().dictionary_encode()
+        names = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self.known.get, names, itertools.repeat(-1)), np.int64, len(names))
+        if len(new := np.flatnonzero(place < 0)):
+            fresh = [names[i] for i in new.tolist()]
+            self._learn(fresh)
+            place[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        ids, ends = self._gather(place[chunks.indices.to_numpy()])
+        cut = np.concatenate([[0], ends])[split.offsets.to_numpy()] * self.dtype.itemsize
+        raw, spans = ids.tobytes(), zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+        return [self._whole(t) if o else raw[slice(*next(spans))] for t, o in zip(texts, odd, strict=True)]
 
 
 class Packer:
     """Pieces in, placements out. A piece is [document, start, end): a document
-    is (doc_id, ids, n ids, first loss-bearing position)."""
+    is (doc_id, ids, n ids, first loss-bearing position); one that comes out has
+    the place of the first of its ids added. A piece that waits keeps its own ids
+    and not those before it."""
 
     def __init__(self, limits: Limits, pool: int = 512):
         self.lim, self.pool = limits, pool
@@ -121,8 +173,8 @@ class Packer:
         return max(0, min(end - start, tokens, max(0, first - start) + loss))
 
     def add(self, doc: tuple) -> Iterator[list[tuple]]:
-        _, _, n, first = doc
-        start = 0
+        key, ids, n, first = doc
+        width, start, doc = len(ids) // n, 0, (key, ids, n, first, 0)
         while True:                      # whole sequences of one long document
             take = self._room(start, n, first, self.lim.tokens, self.lim.loss)
             if take >= n - start and take < self.lim.tokens:
@@ -132,7 +184,7 @@ class Packer:
             if start == n:
                 return
         k = self.n
-        self.docs.append(doc)
+        self.docs.append((key, ids[start * width:], n, first, start) if start else doc)
         self.start[k], self.end[k], self.first_loss[k] = start, n, first
         self.n += 1
         if self.n == len(self.start):
@@ -224,8 +276,9 @@ def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), close_
         def rows(sequences):
             cols = [[] for _ in range(8)]
             for seq in sequences:
-                for (doc, ids, n, lf), s, e, q, at in seq:
-                    crc = zlib.crc32(np.frombuffer(ids[s * width:e * width], dtype=tk.dtype).astype("<u4").tobytes())
+                for (doc, ids, n, lf, base_id), s, e, q, at in seq:
+                    part = ids[(s - base_id) * width:(e - base_id) * width]
+                    crc = zlib.crc32(np.frombuffer(part, dtype=tk.dtype).astype("<u4").tobytes())
                     for c, v in zip(cols, (doc, s, e - s, crc, n, base + q, at, max(0, e - max(s, lf))), strict=True):
                         c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
@@ -234,10 +287,15 @@ def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), close_
         def of(batch):
             ids, firsts = batch.column("doc_id").to_pylist(), batch.column("first").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for k in range(0, len(texts), 500):
-                for i, b in enumerate(tk.encode(texts[k:k + 500]), k):
+            k = 0
+            while k < len(texts):            # groups of a bounded number of characters; one long text may be more
+                size, end = 0, k
+                while end < len(texts) and size < GROUP_CHARS:
+                    size, end = size + len(texts[end]), end + 1
+                for i, b in enumerate(tk.encode(texts[k:end]), k):
                     b += closing
                     yield from packer.add((ids[i], b, len(b) // width, firsts[i]))
+                k = end
 
         for batch in batches:
             yield rows(of(batch))
