@@ -20,7 +20,9 @@ Defined results: a null payload is empty; null ids and repeated rows are kept,
 row by row (rows that share an id and a payload are all responses, or all
 revisits); a null url has no target line; line ends in a url are written as
 %0D and %0A; a file that ends inside a record, or whose chain meets bytes that
-are no record, raises an error; ids are integers.
+are no record, raises an error; ids are integers; payloads of any length are kept
+whole; of equal payloads the smallest id is the response; an empty table gives
+an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,17 +74,21 @@ def _record(kind: str) -> Column:
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, rows_per_file: int = 100_000,
           id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Writes the archive files under ``path``. The payloads are not shuffled:
-    digests are, and the digests that occur twice come back by a join."""
+    """Writes the archive files under ``path``. Which rows are revisits is found
+    on (id, digest) rows alone. What joins the payloads is one row per revisit,
+    by id and digest: it is broadcast if it is small, and else the payloads move
+    once, evenly by their ids, however many of them are equal."""
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
     rows = rows.select("*", sha1_base32(F.col("payload").cast("binary")).alias("digest"))
     first = (rows.filter(F.octet_length("payload") >= least_bytes).groupBy("digest")
              .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    rows = rows.join(materialize(first, "warc-repeated"), "digest", "left")
-    again = (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-             & (F.octet_length("payload") >= least_bytes))
-    (rows.select(F.when(again, _record("revisit")).otherwise(_record("response")).alias("value"))
+    narrow = rows.filter(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
+    revisits = (narrow.join(first, "digest").filter(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+                .select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first_id").distinct())
+    revisits = materialize(revisits, "warc-revisits")
+    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
+    (rows.select(F.when(F.col("first_id").isNotNull(), _record("revisit")).otherwise(_record("response")).alias("value"))
      .write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
      .option("maxRecordsPerFile", rows_per_file).text(path))
 

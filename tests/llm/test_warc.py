@@ -93,3 +93,26 @@ def test_files_that_end_in_line_ends(spark, tmp_path):
         (broken / "a.txt.gz").write_bytes(gzip.compress(whole[:-cut]))
         with pytest.raises(ValueError):
             warc.read(spark, str(broken)).collect()
+
+
+def test_payloads_move_by_id_and_not_by_digest(spark, tmp_path, monkeypatch):
+    """Without broadcasts no exchange of payloads is keyed by digest alone, which a very common payload would make one task."""
+    from pyspark.sql import functions as F
+
+    from recsmith.llm import warc
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"),
+                                        F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("p"), (F.col("id") % 50).cast("string"))).alias("html"))
+        written = []
+        monkeypatch.setattr(warc, "_record", lambda kind: written.append(kind) or F.concat(F.lit(kind), F.col("payload")))
+        plans = []
+        real = warc.materialize
+        monkeypatch.setattr(warc, "materialize", lambda df, name: plans.append(df) or real(df, name))
+        warc.write(pages, str(tmp_path / "w"))
+        assert written and plans[0].columns == ["again_id", "again_digest", "first_id"]
+        kinds = [r.value for r in spark.read.text(str(tmp_path / "w")).collect() if r.value.startswith("re")]
+        assert len(kinds) == 300 and sum(k.startswith("response") for k in kinds) == 1 + len({i % 50 for i in range(300) if i % 3})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
