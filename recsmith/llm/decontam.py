@@ -16,7 +16,10 @@ per distinct hash; nothing is broadcast by hint.
 Defined results: null or empty text has no words and is clean; an item without
 words never occurs; repeated rows get equal results; rows that share an id but
 not a text are judged apart; a null item_id counts as the empty string;
-items_sha256 without items is that of the empty string.
+items_sha256 without items is that of the empty string; texts of any length are
+read whole; nothing is chosen among equals (hits are unions), so there are no
+ties; an empty table gives an empty table, and without items all rows are clean;
+other columns may have any names. Spans are compared by 96 bits of two hashes.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ markup is read as far as it goes (unclosed elements end with their parent, an
 unclosed script, style or comment swallows the rest); scripts, styles, titles,
 frames and text areas have no text, and neither have the DROPPED elements if
 their own end tag closes them: without it their text is judged like any other;
-repeated rows get equal results; other columns are ignored.
+repeated rows get equal results; pages of any length and depth are read whole;
+a marginal of exactly a half is no content; an empty table gives an empty table;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ tabulated once per worker, so a width-4 filter costs two lookups.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter;
 repeated rows get equal results; with no labelled text every text is ``und``;
-other columns are ignored.
+of equally probable languages the first by name wins; texts of any length are
+read whole, in groups of windows; an empty table gives an empty table; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

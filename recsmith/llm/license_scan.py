@@ -9,7 +9,9 @@ mandatory wording stands exactly, word for word, in order; the automaton starts
 wherever the first mandatory words of the template occur.
 
 Defined results: a null or empty text has no words, no label and score 0;
-repeated rows and null ids are scanned row by row; other columns are ignored.
+repeated rows and null ids are scanned row by row; texts of any length are
+scanned whole; all labels that fit are given, so there are no ties; an empty
+table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

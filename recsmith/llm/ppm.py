@@ -26,7 +26,9 @@ a join on its 64-bit hash.
 Defined results: null text is empty (one token, the end); repeated rows and null
 ids are scored row by row; without training texts all words are unknown and all
 bytes equally likely; a document id that is null counts as the empty string for
-the split.
+the split; texts of any length are scored whole; scores are sums, so there are
+no ties to break; an empty table gives an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
