@@ -7,7 +7,7 @@ of each stage to the shared folder and reads it again for the next one.
 Rows with nulls, empty texts or repeated rows go through the stages by the rules
 of their operators: quality rules reject texts under 50 words (so null and empty
 ones), repeated rows are exact copies of which one stays, and an empty table
-gives an empty table.
+gives an empty table. Texts are read whole; other columns may have any names.
 """
 
 from __future__ import annotations
