@@ -225,8 +225,9 @@ def with_sentiment_join(df, key: str, cleaned: str, out: str, lexicon, negations
     summed by the unique ``key``. For lexicons too large to travel."""
     w = F.split(F.regexp_replace(F.col(cleaned), EDGE_PUNCT_STR, ""), " ")
     rows = df.select(F.col(key).alias("_key"), w.alias("_w"))
-    before = [F.get("_w", F.col("_i") - k).alias(f"_p{k}") for k in range(1, NEG_WINDOW + 1)]
-    toks = (rows.select("_key", "_w", F.posexplode_outer("_w").alias("_i", "token")).select("_key", "token", *before)
+    # a token leaves the array with its predecessors, not with the whole array
+    each = F.transform("_w", lambda t, i: F.struct(t.alias("token"), *[F.get("_w", i - k).alias(f"_p{k}") for k in range(1, NEG_WINDOW + 1)]))
+    toks = (rows.select("_key", F.inline(each))
             .join(lexicon.select("token", F.col("valence").alias("_v")), "token").filter("_v != 0"))
     boost = F.coalesce(F.element_at(F.create_map(*[x for k, v in boosters.items() for x in (F.lit(k), F.lit(float(v)))]),
                                     F.coalesce("_p1", F.lit(""))), F.lit(0.0))

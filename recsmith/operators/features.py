@@ -71,15 +71,19 @@ def distinct_ids(ix: DataFrame, key: str, split: str = "train") -> DataFrame:
 def cold_start_flags(ix: DataFrame, train_split: str = "train") -> DataFrame:
     """is_new_user / is_new_item against the distinct train ids.
 
-    Existence is a left join to the distinct id set with a marker, null-safe
-    (a null id matches a null train id, as ``isin`` does).
+    Existence is a left join to the distinct ids with a marker. A null id matches
+    a null train id, as ``isin`` does; null ids stay out of the join (they would
+    all meet in one task) and get the answer of one small aggregate.
     """
-    tu = distinct_ids(ix, "user_id", train_split).withColumn("_u", F.lit(1))
-    ti = distinct_ids(ix, "business_id", train_split).withColumn("_i", F.lit(1))
-    out = (ix.join(tu, ix["user_id"].eqNullSafe(tu["user_id"]), "left").drop(tu["user_id"])
-           .join(ti, ix["business_id"].eqNullSafe(ti["business_id"]), "left").drop(ti["business_id"]))
-    return (out.withColumn("is_new_user", F.col("_u").isNull().cast("int"))
-            .withColumn("is_new_item", F.col("_i").isNull().cast("int")).drop("_u", "_i"))
+    keys = ("user_id", "business_id")
+    train = F.col("split") == train_split
+    seen = ix.agg(*[F.coalesce(F.max((train & F.col(k).isNull()).cast("int")), F.lit(0)).alias(k) for k in keys]).first()
+    out = ix
+    for k, flag in zip(keys, ("is_new_user", "is_new_item"), strict=True):
+        ids = distinct_ids(ix, k, train_split).filter(F.col(k).isNotNull()).select(F.col(k).alias(k), F.lit(1).alias("_met"))
+        out = out.join(ids, k, "left").withColumn(
+            flag, F.when(F.col(k).isNull(), F.lit(1 - seen[k])).otherwise(F.col("_met").isNull().cast("int"))).drop("_met")
+    return out
 
 
 def vector_mean(col: str, alias: str | None = None):

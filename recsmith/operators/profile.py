@@ -69,38 +69,63 @@ def describe_numeric(df: DataFrame, col: str) -> DataFrame:
                                  "column string, stat string, value double")
 
 
+# a quantile sketch is off by at most n / ACCURACY ranks; brackets are two such steps to either side
+ACCURACY = 10_000
+
+
 def describe_by(df: DataFrame, cols: list[str], by: list[str], qs=(0.25, 0.5, 0.75)) -> DataFrame:
     """describe() of several columns per group, as (*by, column, stat, value).
 
-    All columns go through one aggregate of value counts; the counts are ranged
-    over partitions by group and value, ranks are running sums inside a partition
-    plus the sums of the partitions before it (one row per group and partition),
-    and only the values at the wanted ranks are read for the quantiles."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    One aggregate gives the moments and, from quantile sketches, a bracket of
+    values around every wanted rank. A second pass counts the values below each
+    bracket and the distinct values inside it, so only about 4 / ACCURACY of a
+    continuous column's values are shuffled (a row per distinct value and task of
+    a column with few values), and the quantiles are exact. A bracket that turns
+    out not to hold its rank is widened to the whole range and counted again."""
     keys = [*by, "column"]
     long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])))
     long = long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    edges = [x for q in qs for x in (max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY))]
     base = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-                                   F.min("v").alias("min"), F.max("v").alias("max"))
-    counts = stored(long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")).repartitionByRange(parts, *keys, "v")
-                    .withColumn("pid", F.spark_partition_id()), "value-counts")
-    sizes = counts.groupBy(*keys, "pid").agg(F.sum("c").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    upto = F.sum("c").over(Window.partitionBy(*keys, "pid").orderBy("v")) + F.col("before")
-    ranked = (counts.join(sizes.select(*keys, "pid", before.alias("before")), [*keys, "pid"])
-              .select(*keys, "v", "c", upto.alias("upto")).join(base.select(*keys, "n"), keys))
-    want = F.array(*[F.struct(F.lit(f"{round(100 * q)}%").alias("stat"), (q * (F.col("n") - 1)).alias("h")) for q in qs])
-    near = ranked.select(*keys, "v", "c", "upto", F.inline(want))
-    held = lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c"))
-    near = near.select(*keys, "stat", "v", "h", held(F.floor("h")).alias("lo"), held(F.ceil("h")).alias("hi")).filter("lo or hi")
-    lo, hi = F.max(F.when(F.col("lo"), F.col("v"))), F.max(F.when(F.col("hi"), F.col("v")))
-    quant = near.groupBy(*keys, "stat").agg(lo.alias("lo"), hi.alias("hi"), F.max(F.col("h") - F.floor("h")).alias("f")).select(
-        *keys, "stat", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")).alias("value"))
+                                   F.min("v").alias("min"), F.max("v").alias("max"),
+                                   F.percentile_approx("v", edges, ACCURACY).alias("edges"))
+    base = stored(base, "describe-base")                     # a row per group and column
+    want = F.array(*[F.struct(F.lit(f"{round(100 * q)}%").alias("stat"), (q * (F.col("n") - 1)).alias("h"),
+                              F.get("edges", F.lit(2 * i)).alias("lo"), F.get("edges", F.lit(2 * i + 1)).alias("hi")) for i, q in enumerate(qs)])
+    brackets = base.select(*keys, "min", "max", F.inline(want))
+    found = _in_brackets(long, brackets, keys)
+    held = stored(found, "describe-quantiles")
+    missed = _keyed_join(brackets, held.filter("value is null").select(*keys, "stat"), [*keys, "stat"], "left_semi")
+    again = _in_brackets(long, missed.withColumns({"lo": F.col("min"), "hi": F.col("max")}), keys)
+    quant = held.filter("value is not null").unionByName(again) if not missed.isEmpty() else held
     plain = base.select(*keys, F.inline(F.array(*[F.struct(F.lit(k if k != "n" else "count").alias("stat"), F.col(k).cast("double").alias("value"))
                                                   for k in ("n", "mean", "std", "min", "max")])))
     return plain.unionByName(quant)
 
 
+def _keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys where nulls are equal; the right side's keys are dropped."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(other[f"_{k}"])
+    return left.join(other, on, how).drop(*[f"_{k}" for k in keys])
+
+
+def _in_brackets(long: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, stat, value): the value at rank h of each bracket, between its two
+    neighbours; null if the bracket does not hold them."""
+    at = _keyed_join(long, brackets.select(*keys, "stat", "lo", "hi"), keys, "inner").filter("v <= hi")
+    inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))                      # all values below count as one
+    counts = at.groupBy(*keys, "stat", inside.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "stat").orderBy(F.col("v").asc_nulls_first()))
+    ranked = _keyed_join(counts.select(*keys, "stat", "v", "c", upto.alias("upto")), brackets.select(*keys, "stat", "h"), [*keys, "stat"], "inner")
+    held = lambda r: F.col("v").isNotNull() & (r < F.col("upto")) & (r >= F.col("upto") - F.col("c"))
+    lo, hi = F.max(F.when(held(F.floor("h")), F.col("v"))), F.max(F.when(held(F.ceil("h")), F.col("v")))
+    return ranked.groupBy(*keys, "stat").agg(lo.alias("lo"), hi.alias("hi"), F.max(F.col("h") - F.floor("h")).alias("f")).select(
+        *keys, "stat", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")).alias("value"))
+
+
 def value_counts(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
     """counts per value (nulls dropped), sorted by value."""
     return (df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))

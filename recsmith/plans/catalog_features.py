@@ -9,6 +9,8 @@ from recsmith import oracle_sql as O
 from recsmith.functions import vectors as V
 from recsmith.operators import features as FT
 from recsmith.operators import stats as ST
+from recsmith.plans import features_build as FB
+from recsmith.plans.catalog_text import DENSE_RAW
 from recsmith.registry import register
 from recsmith.sources import testdata as td
 
@@ -259,33 +261,38 @@ MODAL_SQL = f"""{IMG_POOL_SQL}, {O.ix_cte(vec=True)},
   pooled AS (SELECT m.business_id, m.split, sum(CAST(CAST(m.v / mn.n AS FLOAT) AS DOUBLE)) AS s
              FROM m JOIN mn USING (business_id, split) GROUP BY 1, 2),
   md AS (SELECT ix.row_id, CAST(len(ix.text_emb) + (SELECT max(pos) FROM m) AS INTEGER) AS dim,
-                list_sum(list_transform(ix.text_emb, lambda x: CAST(x AS DOUBLE))) AS t, coalesce(p.s, 0.0) AS i
-         FROM ix LEFT JOIN pooled p USING (business_id, split))"""
+                list_sum(list_transform(ix.text_emb, lambda x: CAST(x AS DOUBLE))) AS t, coalesce(p.s, 0.0) AS i, dz.d, dz.n
+         FROM ix LEFT JOIN pooled p USING (business_id, split)
+         LEFT JOIN (WITH {DENSE_RAW} SELECT row_id, sum(CAST(CAST((x - m) / s AS FLOAT) AS DOUBLE)) AS d, count(*) AS n
+                    FROM lf JOIN fit USING (pos) GROUP BY row_id) dz USING (row_id))"""
 
 
 def _modalities(spark, d):
-    """Rows with their review vector and the pooled pictures of their business."""
+    """Rows with their review vector, the pooled pictures of their business and their dense features."""
     pictures = td.picture_vectors(spark, d)
     pooled = FT.image_pool(FT.manifest_pictures(td.interactions(spark, d, with_pics=True)), pictures)
-    return FT.join_item_images(_ix(spark, d, with_vectors=True), pooled, len(pictures.select("img_vec").first()[0]))
+    z, _ = FB.zscored_dense(spark, d)
+    rows = FT.join_item_images(_ix(spark, d, with_vectors=True), pooled, len(pictures.select("img_vec").first()[0]))
+    return rows.join(z.select("row_id", "dense"), "row_id", "left")
 
 
 def _total(x):
     return F.aggregate(x, F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double"))
 
 
-@register("concat_modalities", f"{MODAL_SQL} SELECT row_id, dim, round(t + i, 6) AS total FROM md")
+@register("concat_modalities", f"{MODAL_SQL} SELECT row_id, CAST(dim + n AS INTEGER) AS dim, round(t + i + d, 6) AS total FROM md")
 def q_concat_modalities(spark, d):
-    c = _modalities(spark, d).select("row_id", FT.concat_modalities(["text_emb", "img_emb"], "x"))
+    c = _modalities(spark, d).select("row_id", FT.concat_modalities(["text_emb", "img_emb", "dense"], "x"))
     return c.select("row_id", F.size("x").alias("dim"), _total("x").alias("total"))
 
 
 @register("mask_modality", f"""{MODAL_SQL}
-  SELECT row_id, 'text_emb' AS masked, dim, round(i, 6) AS total FROM md
-  UNION ALL SELECT row_id, 'img_emb', dim, round(t, 6) FROM md""")
+  SELECT row_id, 'text_emb' AS masked, CAST(dim + n AS INTEGER) AS dim, round(i + d, 6) AS total FROM md
+  UNION ALL SELECT row_id, 'img_emb', CAST(dim + n AS INTEGER), round(t + d, 6) FROM md
+  UNION ALL SELECT row_id, 'dense', CAST(dim + n AS INTEGER), round(t + i, 6) FROM md""")
 def q_mask_modality(spark, d):
     """The joined input with one modality zeroed, for each of them in turn."""
-    rows, kinds = _modalities(spark, d), ("text_emb", "img_emb")
+    rows, kinds = _modalities(spark, d), ("text_emb", "img_emb", "dense")
     each = [F.struct(F.lit(k).alias("masked"),
                      F.concat(*[(V.zeros_like(c) if c == k else F.col(c)).cast("array<float>") for c in kinds]).alias("x")) for k in kinds]
     return rows.select("row_id", F.inline(F.array(*each))).select("row_id", "masked", F.size("x").alias("dim"), _total("x").alias("total"))

@@ -14,7 +14,9 @@ from recsmith.operators import metadata as MD
 from recsmith.operators import pictures as PC
 from recsmith.operators import sequence as SQ
 from recsmith.plans import evaluation as EV
+from recsmith.plans import features_build as FB
 from recsmith.plans.catalog_features import IMG_POOL_SQL
+from recsmith.plans.catalog_text import DENSE_RAW
 from recsmith.registry import register
 from recsmith.sources import ingest as IG
 from recsmith.sources import matrices as MX
@@ -46,9 +48,17 @@ def _flat_required(df):
 @register("scan_split_json", REQ_SQL)
 def q_scan_split_json(spark, d):
     """Records written as JSON lines (split column) and read back with the
-    explicit record schema."""
+    explicit record schema; a split without rows is an error."""
     path = IG.sink_json(_records(spark, d), IG.scratch_path(spark, "records_jsonl"))
-    return _flat_required(IG.project_required(IG.scan_records_jsonl(spark, path)))
+    return _flat_required(IG.project_required(IG.require_splits(IG.scan_records_jsonl(spark, path))))
+
+
+@register("discover_tables", "SELECT x.t AS \"table\", CAST(c.i AS INTEGER) AS pos, c.name AS \"column\", x.n AS n_rows FROM (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS t, count(*) AS n, (SELECT list(name ORDER BY cid) FROM pragma_table_info('{t}')) AS cols FROM {t}" for t in td.TABLES)
+    + ") x, LATERAL (SELECT unnest(cols) AS name, unnest(range(1, len(cols) + 1)) AS i) c")
+def q_discover_tables(spark, d):
+    """All tables of a folder by pattern, with their columns and row counts."""
+    return IG.describe_tables(spark, f"{d.rstrip('/')}/*.parquet").drop("dtype")
 
 
 @register("project_required", REQ_SQL)
@@ -189,18 +199,23 @@ def q_scan_vectors(spark, d):
   SELECT business_id, 'text_emb' AS kind, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS value FROM pool
   UNION ALL
   SELECT tot.business_id, 'img_emb', CAST(p.pos AS INTEGER), round(CAST(CAST(coalesce(img.s, 0.0) / tot.t AS FLOAT) AS DOUBLE), 6)
-  FROM tot CROSS JOIN (SELECT DISTINCT pos FROM m) p LEFT JOIN img ON img.business_id = tot.business_id AND img.pos = p.pos""")
+  FROM tot CROSS JOIN (SELECT DISTINCT pos FROM m) p LEFT JOIN img ON img.business_id = tot.business_id AND img.pos = p.pos
+  UNION ALL
+  SELECT ix.business_id, 'dense', CAST(dz.pos AS INTEGER), round(CAST(CAST(avg(dz.x) AS FLOAT) AS DOUBLE), 6)
+  FROM ix JOIN (WITH {DENSE_RAW} SELECT row_id, pos, CAST(CAST((x - m) / s AS FLOAT) AS DOUBLE) AS x FROM lf JOIN fit USING (pos)) dz USING (row_id)
+  WHERE ix.business_id IS NOT NULL GROUP BY ix.business_id, dz.pos""")
 def q_scan_item_cache(spark, d):
-    """Item cache of pooled text and picture vectors, written and read back."""
+    """Item cache of pooled text, picture and dense vectors, written and read back."""
     ix = td.interactions(spark, d, with_vectors=True)
     pooled = FT.image_pool(FT.manifest_pictures(_pics(spark, d)), td.picture_vectors(spark, d))
     dim = len(td.picture_vectors(spark, d).select("img_vec").first()[0])
-    items = FT.item_mean_pool(FT.join_item_images(ix, pooled, dim), ["text_emb", "img_emb"])
-    kinds = ("text_emb", "img_emb")
+    z, _ = FB.zscored_dense(spark, d)
+    kinds = ("text_emb", "img_emb", "dense")
+    items = FT.item_mean_pool(FT.join_item_images(ix, pooled, dim).join(z.select("row_id", "dense"), "row_id", "left"), list(kinds))
     cache = items.select("business_id", *[F.col(k).cast("array<float>").alias(k) for k in kinds], "n_rows")
     back = spark.read.parquet(IG.sink_parquet(cache, IG.scratch_path(spark, "item_cache"), partition_by=[]))
     parts = [IG.vectors_long(back, ["business_id"], k).withColumn("kind", F.lit(k)) for k in kinds]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("sink_metrics_csv", f"""WITH {O.ix_cte()}, {O.stats_ctes()},

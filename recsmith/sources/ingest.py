@@ -64,6 +64,33 @@ def scan_records_jsonl(spark: SparkSession, path: str, schema: T.StructType | No
     return spark.read.schema(schema).json(path)
 
 
+def require_splits(df: DataFrame, splits: tuple = SPLITS) -> DataFrame:
+    """``df`` if rows of every split occur in it, else KeyError (one small aggregate)."""
+    have = df.agg(*[F.coalesce(F.max((F.col("split") == s).cast("int")), F.lit(0)).alias(s) for s in splits]).first()
+    if absent := [s for s in splits if not have[s]]:
+        raise KeyError(f"Missing split key: {absent[0]}")
+    return df
+
+
+def discover_tables(spark: SparkSession, pattern: str) -> list[tuple[str, DataFrame]]:
+    """(name, table) of the Parquet files and folders that a path pattern fits, by
+    name; any filesystem Spark reads. Listed on the driver, as Spark lists them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    paths = sorted(s.getPath().toString() for s in found)
+    return [(p.rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet"), spark.read.parquet(p)) for p in paths]
+
+
+def describe_tables(spark: SparkSession, pattern: str) -> DataFrame:
+    """(table, pos, column, dtype, n_rows) of all columns of the tables a pattern
+    fits. Types and row counts come from the files' footers; no data are read."""
+    rows = []
+    for name, df in discover_tables(spark, pattern):
+        n = df.count()
+        rows += [(name, i, f.name, f.dataType.simpleString(), n) for i, f in enumerate(df.schema.fields, 1)]
+    return spark.createDataFrame(rows, "table string, pos int, column string, dtype string, n_rows long")
+
+
 def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Any JSON lines file; schema given or inferred."""
     r = spark.read

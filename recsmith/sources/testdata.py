@@ -46,11 +46,12 @@ def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table that is a single split (so one split's bytes at most), dealt out
-    to all cores by ``key``; a table of several splits as it is."""
-    if df.rdd.getNumPartitions() > 1:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    """A table of fewer splits than there are cores, dealt out to all of them by
+    ``key``; others as they are. Such a table holds one split's bytes a core at
+    most, and its splits may be as uneven as its row groups (a file of one row
+    group is read by one task, whatever its number of splits)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def _rating_expr(value) -> F.Column:

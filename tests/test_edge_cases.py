@@ -325,3 +325,24 @@ def test_matrix_summary_against_numpy(spark):
             assert abs(r["mean"] - np.nanmean(v)) < 1e-6 and abs(r["std"] - np.nanstd(v)) < 1e-6
         b = np.array([x[2][0] for x in mine if x[2]])
         assert (got[g, "b", 1].n_rows, got[g, "b", 1].n) == (len(mine), len(b)) and abs(got[g, "b", 1]["std"] - b.std()) < 1e-9
+
+
+def test_describe_is_exact_whatever_the_brackets(spark, monkeypatch):
+    """Quantiles equal NumPy's for continuous, tied, constant and tiny columns, also when brackets miss their rank."""
+    import numpy as np
+    from recsmith.operators import profile as P
+    rng = np.random.default_rng(6)
+    rows = [(["a", "b", None][i % 3], float(rng.standard_normal()), float(i % 4), 7.0, float("nan") if i % 2 else None if i % 5 else float(i)) for i in range(700)]
+    rows.append(("one", 3.0, None, 1.0, None))
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double, w double").repartition(5)
+    want = {}
+    for g in ("a", "b", None, "one"):
+        for i, c in enumerate("xyzw", 1):
+            v = np.array([r[i] for r in rows if r[0] == g and r[i] is not None and r[i] == r[i]])
+            if len(v):
+                want.update({(g, c, f"{q}%"): np.percentile(v, q) for q in (25, 50, 75)})
+                want[g, c, "count"] = len(v)
+    for accuracy in (10_000, 3):
+        monkeypatch.setattr(P, "ACCURACY", accuracy)
+        got = {(r.g, r.column, r.stat): r.value for r in P.describe_by(df, ["x", "y", "z", "w"], ["g"]).collect()}
+        assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and {k for k in got if k[2] in ("count", "25%", "50%", "75%")} == set(want)
