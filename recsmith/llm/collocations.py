@@ -17,7 +17,7 @@ that very many candidates share is looked up in several tasks.
 
 Counts are 64-bit, scores are exact decimals of 38 digits. Nothing is sampled,
 capped or estimated; a task holds a shard of bounded size or the paths of a
-range, and the number of ranges grows with ``spark.sql.shuffle.partitions``.
+range, and the number of ranges grows with the bytes of the texts.
 
 Defined results: null text counts as empty and gives nothing; a null lang counts
 as ``und``; repeated rows count each; words of any length are kept whole; ties
@@ -28,6 +28,7 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,12 @@ from pyspark.sql import functions as F
 from recsmith.llm.common import materialize
 
 #: Words of a buffer that is sorted at once, and arcs at which a shard is sent off.
-BUFFER_WORDS, SHARD_ARCS = 2_000_000, 3_000_000
+BUFFER_WORDS, SHARD_ARCS = 1_000_000, 2_000_000
+#: Bytes of text for each range of prefixes, and part lookups of a task.
+RANGE_BYTES = 8 << 20
 PARTS_PER_TASK = 200_000
+#: Groups in which a language's phrases are ranked before they are ranked together.
+RANK_GROUPS = 32
 _U = np.uint64
 # fixed values: odd multipliers of 64-bit mixing
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
@@ -300,9 +305,10 @@ def shard_slices(docs: DataFrame, parts: int, text_col: str = "text", lang_col:
         shards: dict[str, Shard] = {}
         waiting = 0
 
-        def out(some):
-            rows = [r for s in some for r in s.slices(parts)]
-            return pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in rows], _type(n)) for n in _NAMES})
+        def out(shard):
+            each = shard.slices(parts)
+            while rows := list(itertools.islice(each, 64)):
+                yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in rows], _type(n)) for n in _NAMES})
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -316,11 +322,11 @@ def shard_slices(docs: DataFrame, parts: int, text_col: str = "text", lang_col:
                         s.sort()
                     if sum(s.arcs for s in shards.values()) >= SHARD_ARCS:
                         for s in shards.values():
-                            yield out([s])
+                            yield from out(s)
                         shards.clear()
         for s in shards.values():
             s.sort()
-            yield out([s])
+            yield from out(s)
 
     return narrow.mapInArrow(run, SLICE)
 
@@ -329,7 +335,7 @@ def _type(name: str) -> pa.DataType:
     return {"lang": pa.string(), "part": pa.int32()}.get(name, pa.binary())
 
 
-def frequent(slices: DataFrame, least: int) -> DataFrame:
+def frequent(slices: DataFrame, least: int, tasks: int) -> DataFrame:
     """lang, words, phrase, a: phrases of at least ``least`` occurrences, and per
     range a row with no words, whose count is the number of words there."""
     def run(batches):
@@ -352,7 +358,7 @@ def frequent(slices: DataFrame, least: int) -> DataFrame:
                 union.add(row)
         yield from done()
 
-    dealt = slices.repartition("part", "lang").sortWithinPartitions("part", "lang")
+    dealt = slices.repartition(tasks, "part", "lang").sortWithinPartitions("part", "lang")
     found = dealt.mapInArrow(run, "lang string, words int, phrase binary, a bigint")
     return found.withColumn("phrase", F.col("phrase").cast("string"))
 
@@ -384,9 +390,9 @@ def collocations(docs: DataFrame, least: int = 10, swallowed: int = 50, top: int
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases of 2
     to 3 words (all of them with ``top`` None). ``swallowed``: a phrase goes if a
     longer candidate around it has that percentage of its occurrences."""
-    spark = docs.sparkSession
-    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(frequent(shard_slices(docs, tasks, text_col, lang_col), least), "collocation-paths")
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long"))).first()[0] or 0
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
+    found = materialize(frequent(shard_slices(docs, tasks, text_col, lang_col), least, tasks), "collocation-paths")
     n = found.filter("words = 0").groupBy("lang").agg(F.sum("a").alias("n"))
     phrases = found.filter("words > 0")
     some = phrases.filter("words > 1")
@@ -413,8 +419,12 @@ def collocations(docs: DataFrame, least: int = 10, swallowed: int = 50, top: int
     kept = best.join(inside, ["lang", "phrase"], "left").filter(
         F.col("around").isNull() | (big("around") * 100 < big("a") * swallowed))
     kept = kept.join(n, "lang").select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.select("*", F.row_number().over(order).alias("rank"))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is not None:                  # no task of the last ranking reads more than RANK_GROUPS * top rows of a language
+        some = kept.select("*", F.pmod(F.xxhash64("phrase"), F.lit(RANK_GROUPS)).alias("group"))
+        first = F.row_number().over(Window.partitionBy("lang", "group").orderBy(*order))
+        kept = some.select("*", first.alias("nth")).filter(F.col("nth") <= top).drop("group", "nth")
+    ranked = kept.select("*", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("rank"))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
