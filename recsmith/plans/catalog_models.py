@@ -12,6 +12,7 @@ from recsmith.models import text_encoder as TE
 from recsmith.operators import features as FT
 from recsmith.operators import stats as ST
 from recsmith.plans import evaluation as EV
+from recsmith.plans import joint_ranking as JR
 from recsmith.plans import modeling as MO
 from recsmith.registry import register
 from recsmith.session import stored
@@ -130,7 +131,7 @@ def _rows(spark, d, dense=False):
 def q_tower_fit(spark, d):
     rows = _rows(spark, d)
     dim = len(rows.select("text_emb").first()[0])
-    _, curve = MO.train_tower(rows, "text_emb", dim, EPOCHS)
+    _, curve = MO.train_tower(rows, "text_emb", dim, EPOCHS, store=MO.tower_store(spark, d, "text_emb", EPOCHS))
     return MO.curve_frame(spark, curve, "text_tower")
 
 
@@ -138,7 +139,7 @@ def q_tower_fit(spark, d):
 def q_training_curve(spark, d):
     rows = _rows(spark, d)
     dim = len(rows.select("img_emb").first()[0])
-    _, curve = MO.train_tower(rows, "img_emb", dim, EPOCHS)
+    _, curve = MO.train_tower(rows, "img_emb", dim, EPOCHS, store=MO.tower_store(spark, d, "img_emb", EPOCHS))
     return MO.curve_frame(spark, curve, "img_tower")       # with the epoch whose weights are kept
 
 
@@ -147,7 +148,7 @@ def q_tower_score(spark, d):
     """Best text tower (reloaded by val RMSE) scored on every split."""
     rows = _rows(spark, d)
     dim = len(rows.select("text_emb").first()[0])
-    model, _ = MO.train_tower(rows, "text_emb", dim, EPOCHS)
+    model, _ = MO.train_tower(rows, "text_emb", dim, EPOCHS, store=MO.tower_store(spark, d, "text_emb", EPOCHS))
     s = model.score(rows, "text_emb", "pred")
     return ST.rmse_mae(s, "pred", "rating", ["split"]).withColumn("model", F.lit("text_tower"))
 
@@ -161,7 +162,7 @@ def _fusion_rows(spark, d):
 def q_late_fusion_fit(spark, d):
     rows = _fusion_rows(spark, d)
     dim = len(rows.select("x").first()[0])
-    _, curve = MO.train_tower(rows, "x", dim, EPOCHS)
+    _, curve = MO.train_tower(rows, "x", dim, EPOCHS, store=MO.tower_store(spark, d, "x", EPOCHS))
     return MO.curve_frame(spark, curve, "late_fusion")
 
 
@@ -169,24 +170,16 @@ def q_late_fusion_fit(spark, d):
 def q_late_fusion_score(spark, d):
     rows = _fusion_rows(spark, d)
     dim = len(rows.select("x").first()[0])
-    model, _ = MO.train_tower(rows, "x", dim, EPOCHS)
+    model, _ = MO.train_tower(rows, "x", dim, EPOCHS, store=MO.tower_store(spark, d, "x", EPOCHS))
     s = model.score(rows, "x", "pred")
     return ST.rmse_mae(s, "pred", "rating", ["split"]).withColumn("model", F.lit("late_fusion"))
 
 
 # ---------------------------------------------------------------- joint
 
-def _joint(spark, d):
-    from recsmith.models import joint as JM
-    ix = td.interactions(spark, d)
-    mf, _ = MF.fit_mf(ix)
-    rows = _fusion_rows(spark, d)
-    return JM.fit_joint(rows, mf, EPOCHS), rows
-
-
 @register("joint_fit")
 def q_joint_fit(spark, d):
-    (jm, curve), _ = _joint(spark, d)
+    _, _, _, curve = JR.fitted(spark, d, EPOCHS)
     return spark.createDataFrame([(e, float(l), float(v)) for e, l, v in curve],
                                  "epoch int, train_loss double, val_ndcg10 double")
 
@@ -194,9 +187,8 @@ def q_joint_fit(spark, d):
 @register("joint_score_items")
 def q_joint_score_items(spark, d):
     """Every item scored once for the default user (query independent)."""
-    (jm, _), rows = _joint(spark, d)
-    items = MO.item_features(rows)
-    return jm.score_items(items).select("business_id", "score")
+    rows, _, jm, _ = JR.fitted(spark, d, EPOCHS)
+    return jm.score_items(JR.pooled_items(rows)).select("business_id", "score")
 
 
 # ---------------------------------------------------------------- evaluation / diagnostics
@@ -211,7 +203,7 @@ def q_evaluate_learned_models(spark, d):
     scored = [mf.predict(ix).select("row_id", "split", "user_id", "rating", F.col("pred").alias("score"), F.lit("mf").alias("model"))]
     rows = stored(_fusion_rows(spark, d).select("row_id", "split", "user_id", "rating", "text_emb", "img_emb", "dense", "x"), "model-rows")
     for name, col in (("text_tower", "text_emb"), ("img_tower", "img_emb"), ("dense_tower", "dense"), ("late_fusion", "x")):
-        tower, _ = MO.train_tower(rows, col, len(rows.select(col).first()[0]), EPOCHS)
+        tower, _ = MO.train_tower(rows, col, len(rows.select(col).first()[0]), EPOCHS, store=MO.tower_store(spark, d, col, EPOCHS))
         scored.append(tower.score(rows.select("row_id", "split", "user_id", "rating", col), col, "score")
                       .select("row_id", "split", "user_id", "rating", "score", F.lit(name).alias("model")))
     out = scored[0]

@@ -34,6 +34,11 @@ def row_features(spark: SparkSession, d: str, with_dense: bool = True) -> DataFr
     return out
 
 
+def tower_store(spark: SparkSession, d: str, features: str, epochs: int) -> EpochStore:
+    """Where the epochs of a tower on the given tables are kept: it is trained once in an application."""
+    return EpochStore.of_session(spark, f"tower-{features}-{epochs}", d)
+
+
 def train_tower(rows: DataFrame, features: str, in_dim: int, epochs: int, seed: int = 42,
                 hidden=TOWER_HIDDEN, store: EpochStore | None = None):
     cfg = mlp.TrainConfig(hidden=hidden, epochs=epochs, lr=LR, batch=BATCH, dropout=DROPOUT, seed=seed)
@@ -48,8 +53,3 @@ def curve_frame(spark: SparkSession, curve: list[tuple], model: str) -> DataFram
     best = min(curve, key=lambda c: (c[2] if c[2] == c[2] else float("inf"), c[0]))[0] if curve else None
     return spark.createDataFrame([(model, e, float(l), float(v), int(e == best)) for e, l, v in curve],
                                  "model string, epoch int, train_loss double, val_rmse double, is_best int")
-
-
-def item_features(rows: DataFrame) -> DataFrame:
-    """Per business mean of text / image / dense vectors over all splits."""
-    return FT.item_mean_pool(rows, ["text_emb", "img_emb", "dense"])
