@@ -181,8 +181,13 @@ def sink_parquet(df: DataFrame, path: str, partition_by: list[str] = ("split",),
     return path
 
 
+# JSON lines that one compressed file holds at most: such a file is read by one task
+ROWS_PER_JSON = 100_000
+
+
 def sink_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).json(path)
+    """JSON lines in compressed files of bounded rows."""
+    df.write.mode(mode).option("compression", "gzip").option("maxRecordsPerFile", ROWS_PER_JSON).json(path)
     return path
 
 
