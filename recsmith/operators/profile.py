@@ -216,7 +216,8 @@ def summarize_matrices(df: DataFrame, by: str, matrices: list[str]) -> DataFrame
                                          names=[x.split()[0] for x in MATRIX_SUMS.split(", ")])
 
     narrow = df.select(F.col(by).cast("string").alias("grp"), *[F.col(m).cast("array<double>").alias(m) for m in matrices])
-    part = narrow.mapInArrow(run, MATRIX_SUMS)
+    # read three times below: the vectors go through once, and their sums (a row per component and task) are kept
+    part = stored(narrow.mapInArrow(run, MATRIX_SUMS), "matrix-sums")
     n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))
     some = part.filter("pos > 0").groupBy("grp", "matrix", "pos").agg(
         F.sum("rows").alias("with_pos"), F.sum("nan_rows").alias("nan_rows"), n.alias("n"), mean.alias("mean"),

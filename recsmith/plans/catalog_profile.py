@@ -163,9 +163,13 @@ def q_alignment_matrices(spark, d):
     n = td.row_count(spark, d, "embeddings")
     pics = td.picture_vectors(spark, d).select(F.substring("pic_id", 2, 20).cast("long").alias("_v"), F.col("img_vec").alias("img_emb"))
     slot = F.when(F.col("row_id") % 4 > 0, (F.col("row_id") * 7) % F.lit(n))
-    ix = td.interactions(spark, d, with_vectors=True).withColumn("_v", slot).join(pics, "_v", "left").drop("_v")
     z, _ = FB.zscored_dense(spark, d)
-    return P.summarize_matrices(ix.join(z.select("row_id", "dense"), "row_id", "left"), "split", ["text_emb", "img_emb", "dense"])
+    # a matrix is summed up where its vectors are joined: no vector travels for the join of another matrix
+    ix = td.interactions(spark, d).select("row_id", "split")
+    found = {"text_emb": td.join_text_vectors(spark, d, ix), "img_emb": ix.withColumn("_v", slot).join(pics, "_v", "left"),
+             "dense": ix.join(z.select("row_id", "dense"), "row_id", "left")}
+    text, image, dense = (P.summarize_matrices(rows, "split", [name]) for name, rows in found.items())
+    return text.unionByName(image).unionByName(dense)
 
 
 @register("row_id_assign", f"""WITH {IX}

@@ -2,6 +2,10 @@
 plans read is computed once."""
 import glob
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from recsmith.operators import profile as P
 from recsmith.sources import ingest as IG
 from recsmith.sources import testdata as td
 
@@ -32,3 +36,18 @@ def test_json_lines_are_compressed_files_of_bounded_rows(spark, tmp_path, monkey
     assert len(glob.glob(f"{path}/part-*.json.gz")) == 3 and not glob.glob(f"{path}/part-*.json")
     back = IG.scan_records_jsonl(spark, path).select("row_id", "split", "review_text").collect()
     assert sorted(map(tuple, back)) == rows
+
+
+def test_vectors_of_a_matrix_go_through_once(spark):
+    """The sums were read by three aggregates, each of which summed all vectors again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        seen.add(1)
+        return v
+    rows = [(s, [float(i), 1.0]) for i in range(10) for s in ("train", "val")] + [("val", None)]
+    df = spark.createDataFrame(rows, "split string, v array<double>")
+    got = P.summarize_matrices(df.withColumn("v", F.udf(count, T.ArrayType(T.DoubleType())).asNondeterministic()("v")), "split", ["v"]).collect()
+    assert seen.value == len(rows)
+    assert {(r.split, r.pos): (r.n_rows, r.n_missing, r.mean) for r in got} == {
+        ("train", 1): (10, 0, 4.5), ("train", 2): (10, 0, 1.0), ("val", 1): (11, 1, 4.5), ("val", 2): (11, 1, 1.0)}
