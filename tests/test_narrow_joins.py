@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recsmith.operators import profile as P
+from recsmith.plans import catalog_joint as CJ
+from recsmith.plans import joint_ranking as JR
 from recsmith.sources import ingest as IG
 from recsmith.sources import testdata as td
 
@@ -51,3 +53,11 @@ def test_vectors_of_a_matrix_go_through_once(spark):
     assert seen.value == len(rows)
     assert {(r.split, r.pos): (r.n_rows, r.n_missing, r.mean) for r in got} == {
         ("train", 1): (10, 0, 4.5), ("train", 2): (10, 0, 1.0), ("val", 1): (11, 1, 4.5), ("val", 2): (11, 1, 1.0)}
+
+
+def test_users_are_joined_before_the_long_vectors(spark):
+    users = td.interactions(spark, SF).filter("split = 'train'")
+    model = JR.fixed_model(users, 2 * CJ.DIM)
+    scored = JR.ablation(CJ._two_modalities(spark, SF, model), model, {"text_emb": CJ.DIM, "img_emb": CJ.DIM})
+    joins = _joins(scored)
+    assert len(joins) == 3 and "_v" in joins[0] and "_vec" in joins[1] and "user_id" in joins[2]
