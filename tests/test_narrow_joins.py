@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from recsmith.operators import profile as P
 from recsmith.plans import catalog_joint as CJ
 from recsmith.plans import joint_ranking as JR
+from recsmith.plans import modeling as MO
 from recsmith.sources import ingest as IG
 from recsmith.sources import testdata as td
 
@@ -40,6 +41,14 @@ def test_json_lines_are_compressed_files_of_bounded_rows(spark, tmp_path, monkey
     assert sorted(map(tuple, back)) == rows
 
 
+def test_users_are_joined_before_the_long_vectors(spark):
+    users = td.interactions(spark, SF).filter("split = 'train'")
+    model = JR.fixed_model(users, 2 * CJ.DIM)
+    scored = JR.ablation(CJ._two_modalities(spark, SF, model), model, {"text_emb": CJ.DIM, "img_emb": CJ.DIM})
+    joins = _joins(scored)
+    assert len(joins) == 3 and "_v" in joins[0] and "_vec" in joins[1] and "user_id" in joins[2]
+
+
 def test_vectors_of_a_matrix_go_through_once(spark):
     """The sums were read by three aggregates, each of which summed all vectors again."""
     seen = spark.sparkContext.accumulator(0)
@@ -55,9 +64,10 @@ def test_vectors_of_a_matrix_go_through_once(spark):
         ("train", 1): (10, 0, 4.5), ("train", 2): (10, 0, 1.0), ("val", 1): (11, 1, 4.5), ("val", 2): (11, 1, 1.0)}
 
 
-def test_users_are_joined_before_the_long_vectors(spark):
-    users = td.interactions(spark, SF).filter("split = 'train'")
-    model = JR.fixed_model(users, 2 * CJ.DIM)
-    scored = JR.ablation(CJ._two_modalities(spark, SF, model), model, {"text_emb": CJ.DIM, "img_emb": CJ.DIM})
-    joins = _joins(scored)
-    assert len(joins) == 3 and "_v" in joins[0] and "_vec" in joins[1] and "user_id" in joins[2]
+def test_feature_rows_pool_pictures_once_and_join_short_vectors_first(spark):
+    rows = MO.row_features(spark, SF)
+    assert "Aggregate" not in _plan(rows)                    # the pooled pictures are read, not computed by every plan on the rows
+    joins = _joins(rows.select("row_id", "text_emb", "img_emb", "dense"))
+    assert "business_id" in joins[0] and "_vec" in joins[1] and "row_id" in joins[2]
+    first = rows.withColumn("x", F.concat("text_emb", "img_emb", "dense")).first()
+    assert {c: len(first[c]) for c in ("text_emb", "img_emb", "dense", "x")} == MO.dims(spark, SF)
