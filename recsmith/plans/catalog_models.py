@@ -130,7 +130,7 @@ def _rows(spark, d, dense=False):
 @register("tower_fit")
 def q_tower_fit(spark, d):
     rows = _rows(spark, d)
-    dim = len(rows.select("text_emb").first()[0])
+    dim = MO.dims(spark, d)["text_emb"]
     _, curve = MO.train_tower(rows, "text_emb", dim, EPOCHS, store=MO.tower_store(spark, d, "text_emb", EPOCHS))
     return MO.curve_frame(spark, curve, "text_tower")
 
@@ -138,7 +138,7 @@ def q_tower_fit(spark, d):
 @register("training_curve")
 def q_training_curve(spark, d):
     rows = _rows(spark, d)
-    dim = len(rows.select("img_emb").first()[0])
+    dim = MO.dims(spark, d)["img_emb"]
     _, curve = MO.train_tower(rows, "img_emb", dim, EPOCHS, store=MO.tower_store(spark, d, "img_emb", EPOCHS))
     return MO.curve_frame(spark, curve, "img_tower")       # with the epoch whose weights are kept
 
@@ -147,7 +147,7 @@ def q_training_curve(spark, d):
 def q_tower_score(spark, d):
     """Best text tower (reloaded by val RMSE) scored on every split."""
     rows = _rows(spark, d)
-    dim = len(rows.select("text_emb").first()[0])
+    dim = MO.dims(spark, d)["text_emb"]
     model, _ = MO.train_tower(rows, "text_emb", dim, EPOCHS, store=MO.tower_store(spark, d, "text_emb", EPOCHS))
     s = model.score(rows, "text_emb", "pred")
     return ST.rmse_mae(s, "pred", "rating", ["split"]).withColumn("model", F.lit("text_tower"))
@@ -161,7 +161,7 @@ def _fusion_rows(spark, d):
 @register("late_fusion_fit")
 def q_late_fusion_fit(spark, d):
     rows = _fusion_rows(spark, d)
-    dim = len(rows.select("x").first()[0])
+    dim = MO.dims(spark, d)["x"]
     _, curve = MO.train_tower(rows, "x", dim, EPOCHS, store=MO.tower_store(spark, d, "x", EPOCHS))
     return MO.curve_frame(spark, curve, "late_fusion")
 
@@ -169,7 +169,7 @@ def q_late_fusion_fit(spark, d):
 @register("late_fusion_score")
 def q_late_fusion_score(spark, d):
     rows = _fusion_rows(spark, d)
-    dim = len(rows.select("x").first()[0])
+    dim = MO.dims(spark, d)["x"]
     model, _ = MO.train_tower(rows, "x", dim, EPOCHS, store=MO.tower_store(spark, d, "x", EPOCHS))
     s = model.score(rows, "x", "pred")
     return ST.rmse_mae(s, "pred", "rating", ["split"]).withColumn("model", F.lit("late_fusion"))
